@@ -38,23 +38,26 @@ def _strip_codes(col: Column) -> Column:
     return _strip_patterns(col, [C.LICENSE_PLATE_PATTERN])
 
 
-# Characters whose compatibility decomposition minus combining marks is exactly
-# one character; generated from the Unicode database for the Latin/Greek/Cyrillic
-# blocks so the common case stays a single JVM ``translate``.
-def _accent_table() -> tuple[str, str]:
-    src, dst = [], []
+# Characters whose compatibility decomposition minus combining marks is at
+# most one character, generated from the Unicode database for the Latin,
+# Greek and Cyrillic blocks. One-to-one folds go through a JVM ``translate``;
+# characters that fold to themselves are safe as they are. Anything else
+# (ligatures, fractions, combining marks, other scripts) takes the exact path.
+def _accent_table() -> tuple[str, str, str]:
+    src, dst, same = [], [], []
     for cp in range(0x00A0, 0x0530):
         ch = chr(cp)
         base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if base != ch and len(base) == 1:
+        if base == ch:
+            same.append(ch)
+        elif len(base) == 1:
             src.append(ch)
             dst.append(base)
-    return "".join(src), "".join(dst)
+    return "".join(src), "".join(dst), "".join(same)
 
 
-_ACCENT_SRC, _ACCENT_DST = _accent_table()
-# Anything outside the translate table that still changes under NFKD goes to the exact path.
-_NEEDS_EXACT = "[^\\x00-\\x7F" + "".join(f"\\u{ord(c):04x}" for c in _ACCENT_SRC) + "]"
+_ACCENT_SRC, _ACCENT_DST, _ACCENT_SAME = _accent_table()
+_NEEDS_EXACT = "[^\\x00-\\x7F" + "".join(f"\\u{ord(c):04x}" for c in _ACCENT_SRC + _ACCENT_SAME) + "]"
 
 
 @F.pandas_udf(T.StringType())

@@ -14,16 +14,21 @@ because the tiebreak column makes the range key unique.
   (= Spark ``percentile`` / DuckDB ``quantile_cont``) without buffering a
   group's values in one task.
 
-The range exchange appears in two branches of one plan and is reused
-(ReuseExchange), so the data is shuffled once.
+The tagged rows (range partition id and position inside it) are written
+once to the shared checkpoint folder and read back: the positions become
+plain data, so later filters, UDFs or optimizer rewrites cannot shift
+them, a lost executor only re-reads files, and the data is shuffled once.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ENGINE
+from ..session import shared_dir
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
@@ -35,10 +40,13 @@ def _partitions(df: DataFrame, n: int | None) -> int:
 
 
 def _tag(df: DataFrame, keys: list, n: int) -> DataFrame:
-    return (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = (df.repartitionByRange(n, *keys)
+                .sortWithinPartitions(*keys)
+                .withColumn("_pid", F.spark_partition_id())
+                .withColumn("_mid", F.monotonically_increasing_id()))
+    path = shared_dir(df.sparkSession, "ranked", uuid.uuid4().hex)
+    tagged.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _segments(tagged: DataFrame, group_cols: list[str]) -> DataFrame:

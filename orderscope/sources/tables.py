@@ -32,3 +32,13 @@ def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Temp views with the same names the SQL oracle uses."""
     for n in names:
         load(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def rebalance(df: DataFrame) -> DataFrame:
+    """Spread an under-partitioned scan (e.g. one large-row-group file of long
+    texts) over the cluster before per-row heavy work; a no-op when the scan
+    already has at least as many partitions as task slots."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
