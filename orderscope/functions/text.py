@@ -57,7 +57,12 @@ def _accent_table() -> tuple[str, str, str]:
 
 
 _ACCENT_SRC, _ACCENT_DST, _ACCENT_SAME = _accent_table()
-_NEEDS_EXACT = "[^\\x00-\\x7F" + "".join(f"\\u{ord(c):04x}" for c in _ACCENT_SRC + _ACCENT_SAME) + "]"
+
+
+# After the one-to-one fold, a row needs the exact path only if a character
+# above U+00FF remains (other scripts, combining marks, unfolded letters) or one
+# of the three vulgar fractions; everything else left is ASCII or folds to itself.
+_NEEDS_EXACT = "[^\\u0000-\\u00bb\\u00bf-\\u00ff]"
 
 
 @F.pandas_udf(T.StringType())
@@ -72,12 +77,16 @@ def _strip_accents_exact(s: pd.Series) -> pd.Series:
 def strip_accents(x) -> Column:
     """NFKD minus combining marks.
 
-    Fast path ``translate`` (JVM) covers one-to-one folds; rows containing any
-    other non-ASCII character take the Arrow-batched exact path.
+    One-to-one folds run as a JVM ``translate``; a cheap range test on the
+    folded text flags the rows that still need the exact Unicode path. Spark
+    evaluates an extracted Python UDF for every row of a batch, so the UDF
+    receives NULL for unflagged rows: Python work is proportional to the rows
+    that really need it.
     """
     col = _c(x)
     fast = F.translate(col, _ACCENT_SRC, _ACCENT_DST)
-    return F.when(col.rlike(_NEEDS_EXACT), _strip_accents_exact(col)).otherwise(fast)
+    exact = _strip_accents_exact(F.when(fast.rlike(_NEEDS_EXACT), col))
+    return F.coalesce(exact, fast)
 
 
 def normalize_text(x) -> Column:

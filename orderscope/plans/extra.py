@@ -426,11 +426,12 @@ def _corpus_sql(item_id: int = 0) -> dict[str, str]:
         "sc": f"""SELECT p.doc_id, SUM(qt.qtf * idf.idf * (p.tf * {k1 + 1}) / (p.tf + {k1} * (1 - {b} + {b} * dl.dl / (SELECT avgdl FROM st)))) AS bm25
                   FROM post p JOIN qt USING (term) JOIN idf USING (term) JOIN dl USING (doc_id) GROUP BY p.doc_id""",
         "bm": "SELECT dl.doc_id, COALESCE(sc.bm25, 0.0) AS bm25 FROM dl LEFT JOIN sc USING (doc_id)",
-        "qv": "SELECT embedding AS q FROM embeddings WHERE vec_id = 0",
-        "vec": f"""SELECT doc_id, list_dot_product(
-                       list_transform(CAST(emb AS DOUBLE[]), lambda x: x / (CASE WHEN {O.norm('emb')} = 0 THEN 1.0 ELSE {O.norm('emb')} END)),
-                       list_transform(CAST((SELECT q FROM qv) AS DOUBLE[]), lambda x: x / (SELECT CASE WHEN {O.norm('q')} = 0 THEN 1.0 ELSE {O.norm('q')} END FROM qv))
-                   ) AS vec_score FROM corpus""",
+        "qv": f"""SELECT CAST(embedding AS DOUBLE[]) AS q,
+                         CASE WHEN {O.norm('embedding')} = 0 THEN 1.0 ELSE {O.norm('embedding')} END AS qn
+                  FROM embeddings WHERE vec_id = 0""",
+        "qu": "SELECT list_transform(q, lambda x: x / qn) AS qu FROM qv",
+        "vec": f"""SELECT doc_id, list_dot_product(list_transform(CAST(emb AS DOUBLE[]), lambda x: x / en), qu) AS vec_score
+                   FROM (SELECT doc_id, emb, CASE WHEN {O.norm('emb')} = 0 THEN 1.0 ELSE {O.norm('emb')} END AS en FROM corpus), qu""",
     }
 
 
