@@ -29,13 +29,29 @@ def norm_whitespace(x) -> Column:
 
 
 def _strip_patterns(col: Column, patterns) -> Column:
-    return reduce(lambda acc, rx: F.regexp_replace(acc, _FLAGS + rx, " "), patterns, col)
+    """Replace each pattern by a space, in order.
+
+    If no pattern matches the input, no replacement happens and the chain is
+    the identity, so one combined test guards the whole chain: most texts pay
+    a single scan instead of one per pattern.
+    """
+    patterns = list(patterns)
+    chain = reduce(lambda acc, rx: F.regexp_replace(acc, _FLAGS + rx, " "), patterns, col)
+    if len(patterns) == 1:
+        return chain
+    any_match = _FLAGS + "|".join(f"(?:{rx})" for rx in patterns)
+    return F.when(col.rlike(any_match), chain).otherwise(col)
+
+
+_CODE_PATTERNS = C.ARTIFACT_PATTERNS + C.INTERNAL_CODE_PATTERNS + [C.LICENSE_PLATE_PATTERN]
 
 
 def _strip_codes(col: Column) -> Column:
-    col = _strip_patterns(col, C.ARTIFACT_PATTERNS)
-    col = _strip_patterns(col, C.INTERNAL_CODE_PATTERNS)
-    return _strip_patterns(col, [C.LICENSE_PLATE_PATTERN])
+    return _strip_patterns(col, _CODE_PATTERNS)
+
+
+def _strip_all(col: Column) -> Column:
+    return _strip_patterns(col, _CODE_PATTERNS + C.BOILERPLATE_PATTERNS)
 
 
 # Characters whose compatibility decomposition minus combining marks is at
@@ -92,12 +108,19 @@ def strip_accents(x) -> Column:
 def normalize_text(x) -> Column:
     """S3: strips (artefact, codes, plate, boilerplate) -> lower -> accents -> whitespace; non-string -> ''."""
     col = _c(x).cast("string")
-    s = _strip_codes(col)
-    s = _strip_patterns(s, C.BOILERPLATE_PATTERNS)
-    s = norm_whitespace(strip_accents(F.lower(s)))
+    s = norm_whitespace(strip_accents(F.lower(_strip_all(col))))
     return F.coalesce(s, F.lit(""))
 
 
+def with_normalized_text(df, src, out: str = "text_normalized"):
+    """DataFrame form of ``normalize_text``: the pattern strips and lower-casing
+    are projected as a column first, so the accent step (JVM fold + Python
+    exact path) reads it once instead of re-evaluating the chain per use."""
+    pre = "__pre_" + out
+    df = df.withColumn(pre, F.lower(_strip_all(_c(src).cast("string"))))
+    return df.withColumn(out, F.coalesce(norm_whitespace(strip_accents(F.col(pre))), F.lit(""))).drop(pre)
+
+
 def clean_text(x) -> Column:
     """Same strips without boilerplate, case kept; non-string -> ''."""
     col = _c(x).cast("string")

@@ -48,8 +48,8 @@ def build_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 
     def _docs():
         d = T.rebalance(FX.doc_vectors(spark, sf_dir))
-        norm = d.select("doc_id", "text", TX.normalize_text("text").alias("text_normalized"),
-                        V.l2_normalize("embedding").alias("vec"))
+        norm = TX.with_normalized_text(d, "text").select("doc_id", "text", "text_normalized",
+                                                          V.l2_normalize("embedding").alias("vec"))
         return norm.withColumn("dl", F.size(TX.tokenize("text_normalized")).cast("long"))
 
     docs = materialize(spark, "corpus_docs", inputs, _docs)
