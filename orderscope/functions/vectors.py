@@ -28,10 +28,18 @@ def norm(a) -> Column:
 
 
 def l2_normalize(a) -> Column:
-    """V / ||v||; a zero vector stays zero (norm 0 -> divide by 1)."""
-    n = norm(a)
-    d = F.when(n == 0, F.lit(1.0)).otherwise(n)
-    return F.transform(as_double_array(a), lambda x: x / d)
+    """V / ||v||; a zero vector stays zero (norm 0 -> divide by 1).
+
+    The norm is accumulated once and bound in the ``finish`` step, so the
+    cost is linear in the dimension (a norm referenced inside ``transform``
+    would be re-evaluated per element)."""
+    arr = as_double_array(a)
+
+    def finish(acc):
+        d = F.sqrt(acc)
+        d = F.when(d == 0, F.lit(1.0)).otherwise(d)
+        return F.transform(arr, lambda x: x / d)
+    return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v * v, finish)
 
 
 def cosine(a, b) -> Column:
