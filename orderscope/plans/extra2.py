@@ -324,7 +324,8 @@ FROM (SELECT COALESCE(fornitore, '') AS v, MIN(record_id) AS f FROM export_ids G
 
     def serialize_rows(s, sf):
         hits = VS.semantic_orders(X._orders_vec(s, sf), X._anchor_vec(s, sf), 5)
-        return serialize_columns(hits).select("record_id", F.to_json(F.struct(*[c for c in hits.columns if c != "similarity"]))
+        return serialize_columns(hits).select("record_id", F.to_json(F.struct(*[c for c in hits.columns if c != "similarity"]),
+                                                                          {"ignoreNullFields": "false"})
                                               .alias("payload"))
     cols = ["record_id", "order_code", "order_date", "delivery_date", "vendor", "region", "category",
             "contract_type", "order_type", "amount", "summary"]
@@ -334,7 +335,7 @@ FROM (SELECT COALESCE(fornitore, '') AS v, MIN(record_id) AS f FROM export_ids G
                                          else ("order_summary" if c == "summary" else c))) for c in cols)
     register("serialize_rows", serialize_rows, X._ctx_ov(f"""
 SELECT record_id, to_json({{{obj}}}) AS payload FROM (
-  SELECT *, {sim_sql} AS sim FROM order_vectors WHERE summary_embedding IS NOT NULL
+  SELECT * FROM (SELECT *, {sim_sql} AS sim FROM order_vectors WHERE summary_embedding IS NOT NULL)
   ORDER BY round(sim, 9) DESC, record_id LIMIT 5)""", with_cte))
 
     def ingest_roundtrip(s, sf):
