@@ -70,6 +70,21 @@ def with_row_ids(df: DataFrame, order_cols: list[str], id_col: str = "record_id"
     return out.drop("_pid", "_mid", "_first", "_off")
 
 
+def rank_within_groups(df: DataFrame, group_cols: list[str], order_cols: list[str], out: str = "rank0",
+                       num_partitions: int | None = None) -> DataFrame:
+    """0-based position inside each group in ``order_cols`` order (keys should be unique per group).
+
+    Same machinery as ``with_row_ids``; the segment table has one row per
+    (group, range partition) and is joined back on those two columns (AQE
+    broadcasts it when it is small at run time)."""
+    n = _partitions(df, num_partitions)
+    tagged = _tag(df, [*group_cols, *order_cols], n)
+    seg = _segments(tagged, list(group_cols)).select(*group_cols, "_pid", "_first", "_off")
+    res = tagged.join(seg, [*group_cols, "_pid"])
+    res = res.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint"))
+    return res.drop("_pid", "_mid", "_first", "_off")
+
+
 def exact_percentile(df: DataFrame, value: str, p: float, group_cols: list[str] | None = None,
                      out: str = "percentile", num_partitions: int | None = None) -> DataFrame:
     """Exact quantile with linear interpolation, NULL values skipped; one row per group."""

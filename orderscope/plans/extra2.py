@@ -295,6 +295,12 @@ WHERE rnk <= {C.DEFAULT_TOP_K}""", order_vectors=FX.ORDER_VECTORS_SQL))
 # ----------------------------------------------------------------------------- F5 / S20 / S21 / A9 / A1 / D48
 
 def _misc(register, with_cte):
+    from ..sources import payload as PL
+    register("payload_items", lambda s, sf: PL.payload_items(PL.pages(s, sf)), with_cte("""
+SELECT doc_id, page, line % 3 AS item_pos, code, CASE WHEN cut THEN tail ELSE description END AS description,
+       quantity, unit_price, total_price FROM lines""", lines=PL.lines_sql()))
+    register("payload_stitch", lambda s, sf: PL.payload_stitch(PL.pages(s, sf)), with_cte("""
+SELECT doc_id, page, line % 3 AS item_pos, code, description FROM lines""", lines=PL.lines_sql()))
     register("sample_n", lambda s, sf: TK.sample_n(FX.procurement(s, sf), 100, 42, KEYS).select(*KEYS, "amount"), None)
 
     def category_slot(s, sf):
