@@ -295,6 +295,33 @@ WHERE rnk <= {C.DEFAULT_TOP_K}""", order_vectors=FX.ORDER_VECTORS_SQL))
 # ----------------------------------------------------------------------------- F5 / S20 / S21 / A9 / A1 / D48
 
 def _misc(register, with_cte):
+    def stream_ingest(s, sf):
+        """Incremental load: export v1 (all rows) and v2 (newest year revised) stream into the change log."""
+        import uuid
+        from ..streaming.incremental import current_state, start_changelog
+        ex = X._export(s, sf).withColumn("seq", F.lit(1))
+        newest = ex.agg(F.max(F.substring("data_ord", 1, 4))).scalar()
+        rev = (ex.where(F.substring("data_ord", 1, 4) == newest)
+                 .withColumn("importo_ordine", (F.col("importo_ordine").cast("decimal(18,2)") + 1)
+                             .cast("decimal(18,2)").cast("string"))
+                 .withColumn("seq", F.lit(2)))
+        src = shared_dir(s, "stream-src", uuid.uuid4().hex)
+        ex.write.parquet(src + "/v1")
+        rev.write.parquet(src + "/v2")
+        schema = s.read.parquet(src + "/v1").schema
+        q, log = start_changelog(s, src + "/*", schema, ["ordine_n", "importo_ordine", "oggetto", "note"])
+        q.awaitTermination()
+        cur = current_state(s, log, KEYS)
+        return cur.select(*KEYS, "importo_ordine", "seq", "text_normalized")
+    register("stream_ingest", stream_ingest, X._ctx_export(f"""
+SELECT {KEYS_SQL},
+       CASE WHEN substr(data_ord, 1, 4) = (SELECT MAX(substr(data_ord, 1, 4)) FROM export)
+            THEN CAST(CAST(CAST(importo_ordine AS DECIMAL(18,2)) + 1 AS DECIMAL(18,2)) AS VARCHAR)
+            ELSE importo_ordine END AS importo_ordine,
+       CASE WHEN substr(data_ord, 1, 4) = (SELECT MAX(substr(data_ord, 1, 4)) FROM export) THEN 2 ELSE 1 END AS seq,
+       {O.normalize_text(O.combine_text(['oggetto', 'descrizione', '"desc"', 'note']))} AS text_normalized
+FROM export""", with_cte))
+
     from ..sources import payload as PL
     register("payload_items", lambda s, sf: PL.payload_items(PL.pages(s, sf)), with_cte("""
 SELECT doc_id, page, line % 3 AS item_pos, code, CASE WHEN cut THEN tail ELSE description END AS description,
