@@ -38,9 +38,6 @@ def _unit(mat: np.ndarray) -> np.ndarray:
 
 
 def _query_block(queries: DataFrame, qid: str, qvec: str) -> tuple[np.ndarray, np.ndarray]:
-    n = queries.count()
-    if n > ENGINE.broadcast_row_limit:
-        raise ValueError(f"query block of {n} rows exceeds the broadcast limit; split it into batches")
     rows = queries.select(qid, F.col(qvec).cast("array<double>").alias("v")).collect()
     ids = np.array([r[0] for r in rows], dtype=np.int64)
     mat = _unit(np.array([r[1] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 0))
@@ -50,7 +47,19 @@ def _query_block(queries: DataFrame, qid: str, qvec: str) -> tuple[np.ndarray, n
 def batch_vector_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id",
                       vec_col: str = "embedding", qid: str = "query_id", qvec: str = "embedding",
                       salt_buckets: int = 16) -> DataFrame:
-    """R9 (vector part): exact cosine top-k for every query; (query_id, id, score, rank)."""
+    """R9 (vector part): exact cosine top-k for every query; (query_id, id, score, rank).
+
+    Queries are broadcast in blocks of at most ``ENGINE.broadcast_row_limit``
+    rows (size checked by a count); more queries → several blocks, unioned."""
+    n = queries.count()
+    blocks = max(1, -(-n // ENGINE.broadcast_row_limit))
+    if blocks > 1:
+        parts = [batch_vector_topk(corpus, queries.where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b), k,
+                                   id_col, vec_col, qid, qvec, salt_buckets) for b in range(blocks)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     spark = corpus.sparkSession
     qids, qmat = _query_block(queries, qid, qvec)
     bq = spark.sparkContext.broadcast((qids, qmat))
@@ -131,6 +140,13 @@ def ivf_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: i
     return topk_per_group(scored, [qid], "score", id_col, k)
 
 
+def materialize_once(df: DataFrame) -> DataFrame:
+    """Write a result reused by several plans (here: exact neighbours) to the shared folder once."""
+    path = shared_dir(df.sparkSession, "ann", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def recall_at_k(exact: DataFrame, approx: DataFrame, k: int, qid: str = "query_id", id_col: str = "doc_id") -> DataFrame:
     hit = exact.select(qid, id_col).join(approx.select(qid, id_col), [qid, id_col])
     per_q = exact.select(qid).distinct().join(hit.groupBy(qid).agg(F.count(F.lit(1)).alias("h")), qid, "left")

@@ -40,7 +40,11 @@ def _export(spark, sf):
 
 
 def _export_ids(spark, sf):
-    return P.with_source_row(EX.orders_export(spark, sf), KEYS)
+    """A4 at ingest: ids assigned once per input version and persisted in the shared folder."""
+    from ..session import materialize
+    inputs = [T.path(sf, t) for t in ("lineitem", "orders", "part", "supplier", "nation", "region")]
+    return materialize(spark, "orders_export_ids", inputs,
+                       lambda: P.with_source_row(EX.orders_export(spark, sf), KEYS))
 
 
 def _projects(spark, sf):
@@ -139,14 +143,14 @@ def _text(register, with_cte):
              lambda s, sf: _docs(s, sf).select("doc_id", TX.strip_accents("text").alias("text_plain")),
              "SELECT doc_id, strip_accents(text) AS text_plain FROM documents")
     register("normalize_text",
-             lambda s, sf: _docs(s, sf).select("doc_id", TX.normalize_text("text").alias("text_normalized")),
+             lambda s, sf: TX.with_normalized_text(_docs(s, sf), "text").select("doc_id", "text_normalized"),
              f"SELECT doc_id, {O.normalize_text('text')} AS text_normalized FROM documents")
     register("clean_text",
              lambda s, sf: _docs(s, sf).select("doc_id", TX.clean_text("text").alias("text_clean")),
              f"SELECT doc_id, {O.clean_text('text')} AS text_clean FROM documents")
 
     def tokenize(s, sf):
-        t = _docs(s, sf).select("doc_id", TX.tokenize(TX.normalize_text("text")).alias("tok"))
+        t = TX.with_normalized_text(_docs(s, sf), "text").select("doc_id", TX.tokenize("text_normalized").alias("tok"))
         return t.select("doc_id", F.size("tok").cast("bigint").alias("n_tokens"),
                         F.size(F.array_distinct("tok")).cast("bigint").alias("n_distinct"),
                         F.element_at("tok", 1).alias("first_token"), F.element_at("tok", -1).alias("last_token"))
@@ -173,8 +177,9 @@ SELECT doc_id, CAST({est} AS BIGINT) AS est_tokens, length(text) > {lim} AS was_
 FROM documents""")
 
     def cache_key(s, sf):
-        c = TX.clip_text(TX.normalize_text("text"))
-        return _docs(s, sf).select("doc_id", TX.embed_cache_key(c["clipped_text"]).alias("cache_key"))
+        c = TX.clip_text(F.col("text_normalized"))
+        return TX.with_normalized_text(_docs(s, sf), "text").select(
+            "doc_id", TX.embed_cache_key(c["clipped_text"]).alias("cache_key"))
     register("embed_cache_key", cache_key, f"""
 SELECT doc_id, '{C.EMBEDDING_MODEL}:{C.EMBED_OUTPUT_DIM}:' || sha256(substring(tn, 1, {lim})) AS cache_key
 FROM (SELECT doc_id, {O.normalize_text('text')} AS tn FROM documents)""")
@@ -290,8 +295,7 @@ SELECT record_id, commessa_code, ditta, nome_commessa, settore, mgo, committente
        preposti, text_raw, text_normalized, oggetto_embedding, num_commessa FROM commesse""", with_cte, vectors=True))
 
     register("drop_empty_text",
-             lambda s, sf: P.drop_empty_text(_docs(s, sf).select("doc_id", TX.normalize_text("text").alias("text_normalized")))
-             .select("doc_id"),
+             lambda s, sf: P.drop_empty_text(TX.with_normalized_text(_docs(s, sf), "text")).select("doc_id"),
              f"SELECT doc_id FROM documents WHERE length({O.normalize_text('text')}) > 0")
     register("drop_missing_vectors",
              lambda s, sf: P.drop_missing_vectors(FX.doc_vectors(s, sf, "left"), "embedding").select("doc_id"),

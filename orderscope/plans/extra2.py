@@ -275,7 +275,7 @@ WHERE rnk <= {C.DEFAULT_TOP_K}""", order_vectors=FX.ORDER_VECTORS_SQL))
     def ann_ivf_recall(s, sf, k: int = C.DEFAULT_TOP_K, nlist: int = 16):
         e = T.load(s, sf, "embeddings", ["vec_id", "embedding"]).withColumnRenamed("vec_id", "doc_id")
         q = X._orders_vec(s, sf).select(F.col("record_id").alias("query_id"), F.col("summary_embedding").alias("embedding"))
-        exact = ANN.batch_vector_topk(e, q, k)
+        exact = ANN.materialize_once(ANN.batch_vector_topk(e, q, k))
         index, centroids = ANN.ivf_build(e, nlist)
         out = None
         for nprobe in (1, 2, 4, 8, nlist):
