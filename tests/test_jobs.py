@@ -87,3 +87,14 @@ def test_entry_and_registry(spark):
     assert df.count() >= 0 and "score_combined" in df.columns
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 100
+
+
+def test_schema_catalog(spark):
+    from orderscope.sources.schema import (ORDERS_DESCRIPTIONS, RAW_DEFAULT, combined_columns, schema_catalog,
+                                           with_descriptions)
+    a = with_descriptions(spark.createDataFrame([(1, "x", "y")], "record_id long, vendor string, fornitore string"),
+                          ORDERS_DESCRIPTIONS, RAW_DEFAULT)
+    b = spark.createDataFrame([(1, "z")], "record_id long, committente string")
+    cat = {(r[0], r[1]): r[2] for r in schema_catalog(spark, {"orders": a, "commesse": b}).collect()}
+    assert cat[("orders", "vendor")] == ORDERS_DESCRIPTIONS["vendor"] and cat[("orders", "fornitore")] == RAW_DEFAULT
+    assert combined_columns({"orders": a, "commesse": b}) == ["record_id", "vendor", "fornitore", "committente"]
