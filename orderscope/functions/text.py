@@ -81,8 +81,7 @@ _ACCENT_SRC, _ACCENT_DST, _ACCENT_SAME = _accent_table()
 _NEEDS_EXACT = "[^\\u0000-\\u00bb\\u00bf-\\u00ff]"
 
 
-@F.pandas_udf(T.StringType())
-def _strip_accents_exact(s: pd.Series) -> pd.Series:
+def _strip_accents_batch(s: pd.Series) -> pd.Series:
     def one(t):
         if t is None:
             return None
@@ -90,6 +89,9 @@ def _strip_accents_exact(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+_strip_accents_exact = F.pandas_udf(_strip_accents_batch, T.StringType())
+
+
 def strip_accents(x) -> Column:
     """NFKD minus combining marks.
 

@@ -47,7 +47,7 @@ def build_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     inputs = [T.path(sf_dir, "documents"), T.path(sf_dir, "embeddings")]
 
     def _docs():
-        d = T.rebalance(FX.doc_vectors(spark, sf_dir))
+        d = FX.doc_vectors(spark, sf_dir)
         norm = TX.with_normalized_text(d, "text").select("doc_id", "text", "text_normalized",
                                                           V.l2_normalize("embedding").alias("vec"))
         return norm.withColumn("dl", F.size(TX.tokenize("text_normalized")).cast("long"))

@@ -28,7 +28,7 @@ KEYS_SQL = ", ".join(KEYS)
 
 
 def _docs(spark, sf):
-    return T.rebalance(T.load(spark, sf, "documents", ["doc_id", "text"]))
+    return T.load_balanced(spark, sf, "documents", ["doc_id", "text"])
 
 
 def _conv(spark, sf):

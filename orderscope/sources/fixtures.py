@@ -217,6 +217,6 @@ LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_o, max(o_orderdate) AS la
 
 
 def doc_vectors(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
-    d = T.load(spark, sf_dir, "documents", ["doc_id", "text"])
+    d = T.load_balanced(spark, sf_dir, "documents", ["doc_id", "text"])
     e = T.load(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     return d.join(e, d.doc_id == e.vec_id, how).drop("vec_id")

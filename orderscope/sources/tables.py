@@ -35,10 +35,23 @@ def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
 
 
 def rebalance(df: DataFrame) -> DataFrame:
-    """Spread an under-partitioned scan (e.g. one large-row-group file of long
-    texts) over the cluster before per-row heavy work; a no-op when the scan
-    already has at least as many partitions as task slots."""
+    """Spread an under-partitioned frame over the task slots (round-robin shuffle)."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
         return df.repartition(slots)
     return df
+
+
+def load_balanced(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """Read a table whose scan has fewer splits than task slots (e.g. one large row group of
+    long texts) from a copy written once, spread over the slots, in the shared folder.
+
+    A shuffle inside the query would not help: the optimizer pushes filters
+    on per-row results below a repartition, back into the narrow scan.
+    """
+    from ..session import materialize
+    df = load(spark, sf_dir, name)
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        df = materialize(spark, f"{name}-balanced{slots}", [path(sf_dir, name)], lambda: df.repartition(slots))
+    return df.select(*columns) if columns else df
