@@ -16,7 +16,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     """Session for tests and the bench. On a cluster the caller's session is used."""
     cpus = os.environ.get("BENCH_CPUS", "8")
     master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or int(cpus)
+    parts = shuffle_partitions or int(os.environ.get("ORDERSCOPE_SHUFFLE_PARTITIONS", cpus))
     builder = (
         SparkSession.builder.master(master)
         .appName(app_name)
@@ -49,16 +49,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A path under the checkpoint folder's parent namespace for written tables."""
+    """A path for written tables under the shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     return "/".join([base.rstrip("/"), "orderscope", *parts])
 
 
+_CODE_VERSION: str | None = None
+
+
+def _code_version() -> str:
+    """Hash of this package's source: a changed view definition never reuses an old copy."""
+    global _CODE_VERSION
+    if _CODE_VERSION is None:
+        h = hashlib.sha256()
+        root = os.path.dirname(os.path.abspath(__file__))
+        for d, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    with open(os.path.join(d, f), "rb") as fh:
+                        h.update(fh.read())
+        _CODE_VERSION = h.hexdigest()[:12]
+    return _CODE_VERSION
+
+
 def _fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    """Cheap identity of input files (path, size, mtime) via the Hadoop FS of each path."""
+    """Cheap identity of input files (path, size, mtime) via the Hadoop FS of each path, plus code version."""
     jvm = spark.sparkContext._jvm
     hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    h = hashlib.sha256()
+    h = hashlib.sha256(_code_version().encode())
     for p in sorted(paths):
         jpath = jvm.org.apache.hadoop.fs.Path(p)
         fs = jpath.getFileSystem(hconf)
