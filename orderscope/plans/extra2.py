@@ -221,7 +221,7 @@ JOIN embeddings e ON x.record_id = e.vec_id""", with_cte, ids=True))
 
     def orders_mentioning_project(s, sf):
         cm = X._commesse(s, sf)
-        name = FL.lookup_code(cm, "12", "commessa_code").select("nome_commessa").first()[0]
+        name = FL.lookup_code(cm, "12", "commessa_code").select("nome_commessa").first()[0]   # one anchor row
         ov = X._orders_vec(s, sf)
         text = F.lower(F.concat_ws(" ", F.col("vendor"), F.col("order_summary")))
         return (ov.where(text.contains(name.lower()))
@@ -234,6 +234,20 @@ FROM ({FX.ORDER_VECTORS_SQL}) ov,
 WHERE contains(lower(concat_ws(' ', vendor, order_summary)), lower(nm))""", with_cte, vectors=True))
 
 
+def semantic_text_search(s, sf, query: str = "Machinery URGENT", top_k: int = C.DEFAULT_TOP_K, dim: int = 1999):
+    """R8 + R10 by text: summaries embedded by the embedding job (offline model), the query text
+    normalised and embedded by the same model, cosine top-k over the orders."""
+    ov = X._orders_vec(s, sf).select("record_id", "order_code", "vendor", "order_summary")
+    docs = TX.with_normalized_text(ov, "order_summary", "summary_normalized")
+    rows, _, _ = EN.embed_job(docs, "summary_normalized", EN.empty_cache(s), dim=dim)
+    q = TX.with_normalized_text(s.createDataFrame([(query,)], "q string"), "q", "qn")
+    qrows, _, _ = EN.embed_job(q, "qn", EN.empty_cache(s), dim=dim)
+    qv = VS.query_vector(qrows, "embedding")
+    hits = VS.topk(VS.score(rows, "embedding", qv), "_sim", "record_id", top_k)
+    return hits.select("record_id", "order_code", "vendor", "order_summary",
+                       F.round(F.greatest(F.lit(0.0), F.col("_sim")), 6).alias("similarity"))
+
+
 def V_norm(col):
     from ..functions import vectors as V
     return V.norm(col)
@@ -291,6 +305,21 @@ WHERE rnk <= {C.DEFAULT_TOP_K}""", order_vectors=FX.ORDER_VECTORS_SQL))
         return p.select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
     register("project_2d", project_2d, None)
 
+    # cosine of token-count vectors (the hashed model without bucket collisions on these tokens)
+    tok = O.tokens(O.normalize_text("order_summary"))
+    register("semantic_text_search", semantic_text_search, with_cte(f"""
+SELECT ov.record_id, ov.order_code, ov.vendor, ov.order_summary,
+       round(greatest(0.0, CASE WHEN dn.nd = 0 THEN 0.0 ELSE COALESCE(dot.v, 0) / (sqrt(dn.nd) * sqrt((SELECT SUM(c * c) FROM q))) END), 6) AS similarity
+FROM order_vectors ov JOIN dn USING (record_id) LEFT JOIN dot USING (record_id)
+ORDER BY round(CASE WHEN dn.nd = 0 THEN 0.0 ELSE COALESCE(dot.v, 0) / (sqrt(dn.nd) * sqrt((SELECT SUM(c * c) FROM q))) END, 9) DESC,
+         ov.record_id
+LIMIT {C.DEFAULT_TOP_K}""",
+        order_vectors=FX.ORDER_VECTORS_SQL,
+        q=f"SELECT t, COUNT(*) AS c FROM (SELECT unnest({O.tokens(O.normalize_text(chr(39) + 'Machinery URGENT' + chr(39)))}) AS t) GROUP BY t",
+        dt=f"SELECT record_id, t, COUNT(*) AS c FROM (SELECT record_id, unnest({tok}) AS t FROM order_vectors) GROUP BY ALL",
+        dn="SELECT record_id, SUM(c * c) AS nd FROM dt GROUP BY record_id",
+        dot="SELECT dt.record_id, SUM(dt.c * q.c) AS v FROM dt JOIN q USING (t) GROUP BY dt.record_id"))
+
 
 # ----------------------------------------------------------------------------- F5 / S20 / S21 / A9 / A1 / D48
 
@@ -374,7 +403,8 @@ SELECT record_id, to_json({{{obj}}}) AS payload FROM (
     def ingest_roundtrip(s, sf):
         """A1/A3: export written as CSV with header (once per input fingerprint), read back as strings."""
         inputs = [T.path(sf, t) for t in ("lineitem", "orders", "part", "supplier", "nation", "region")]
-        path = shared_dir(s, "exports", "orders_csv-" + str(abs(hash(tuple(inputs))) % 10**12))
+        from ..session import _fingerprint
+        path = shared_dir(s, "exports", "orders_csv-" + _fingerprint(s, inputs))
         ex = X._export(s, sf).drop(*KEYS[1:]).withColumn("l_orderkey", F.col("l_orderkey").cast("string"))
         opts = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
                 "quoteAll": "false", "escape": '"'}
