@@ -114,8 +114,10 @@ UNION ALL
 SELECT record_id, 'P' AS o_orderstatus, CAST(amount * 1.20 AS DECIMAL(18,2)) AS amount FROM t WHERE o_orderstatus = 'O'""")
 
     def docs_keyed(s, sf):
-        d = X._docs(s, sf)
-        return TX.with_normalized_text(d, "text")
+        """The prepared document table (normalised once per input version) the embedding jobs read."""
+        inputs = [T.path(sf, "documents")]
+        return materialize(s, "documents_prepared", inputs,
+                           lambda: TX.with_normalized_text(X._docs(s, sf), "text"))
 
     def cache_from_labels(s, sf):
         """The previous run embedded the labelled documents: their keys form the cache."""

@@ -46,6 +46,13 @@ PAYLOAD = T.StructType([
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, payload JSON): the extracted pages, written once per input version."""
+    from ..session import materialize
+    inputs = [TB.path(sf_dir, "lineitem"), TB.path(sf_dir, "part")]
+    return materialize(spark, "page_payloads", inputs, lambda: build_pages(spark, sf_dir))
+
+
+def build_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page, payload JSON) built from lineitem ⋈ part."""
     li = TB.load(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                                              "l_extendedprice"])

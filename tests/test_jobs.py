@@ -98,3 +98,25 @@ def test_schema_catalog(spark):
     cat = {(r[0], r[1]): r[2] for r in schema_catalog(spark, {"orders": a, "commesse": b}).collect()}
     assert cat[("orders", "vendor")] == ORDERS_DESCRIPTIONS["vendor"] and cat[("orders", "fornitore")] == RAW_DEFAULT
     assert combined_columns({"orders": a, "commesse": b}) == ["record_id", "vendor", "fornitore", "committente"]
+
+
+def test_ingest_helpers(spark, tmp_path):
+    from pyspark.sql import types as T
+    from orderscope.sources.ingest import read_export, require_rows, typed_reload, write_table
+    src = spark.createDataFrame([("1", "2024-02-30", "12,5", " a "), ("2", "2024-01-31", "7.25", None)],
+                                "id string, d string, amt string, txt string")
+    p = str(tmp_path / "csv")
+    src.write.options(header="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(p)
+    back = read_export(spark, p)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, src.collect()))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("d", T.DateType()),
+                           T.StructField("amt", T.DecimalType(18, 2)), T.StructField("extra", T.StringType())])
+    typed = typed_reload(back, schema).orderBy("id").collect()
+    assert typed[0]["d"] is None and typed[0]["amt"] is None and str(typed[1]["amt"]) == "7.25"
+    assert typed[1]["extra"] is None and str(typed[1]["d"]) == "2024-01-31"
+    write_table(typed_reload(back, schema), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    with pytest.raises(ValueError):
+        require_rows(back.where("1 = 0"))
+    with pytest.raises(ValueError):
+        require_rows(back, ["nope"])
