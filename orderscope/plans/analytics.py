@@ -64,6 +64,20 @@ def with_year(df: DataFrame) -> DataFrame:
     return df.withColumn("year", F.year("order_date"))
 
 
+def latest_year(p: DataFrame, offset: int = 0):
+    """Newest order year (+ offset) as a literal: one tiny aggregate over a single pruned column,
+    so the year filter that follows is a literal date range Spark pushes into the scan."""
+    row = p.agg(F.max("order_date").alias("m")).first()
+    return F.lit(None).cast("int") if row["m"] is None else F.lit(row["m"].year + offset)
+
+
+def in_year(y, months: int = 12):
+    """``order_date`` within year ``y`` (first ``months`` months) as a date range, so the
+    predicate reaches the parquet scan (row-group skipping on the date-sorted files)."""
+    start = F.make_date(y, F.lit(1), F.lit(1))
+    return (F.col("order_date") >= start) & (F.col("order_date") < F.add_months(start, months))
+
+
 # --------------------------------------------------------------------------- scalars
 
 @question("total_orders", "SELECT COUNT(*) AS total_orders FROM procurement")
@@ -134,9 +148,7 @@ FROM (SELECT YEAR(order_date) AS year, amount FROM procurement)
 WHERE year = (SELECT MAX(YEAR(order_date)) FROM procurement)
 GROUP BY year""")
 def newest_year(p):
-    y = with_year(p)
-    latest = y.agg(F.max("year")).scalar()
-    return (y.where(F.col("year") == latest).groupBy("year")
+    return (with_year(p.where(in_year(latest_year(p)))).groupBy("year")
              .agg(n_rows().alias("total_orders"), money_sum().alias("total_amount")))
 
 
@@ -266,8 +278,8 @@ WHERE vendor IS NOT NULL AND YEAR(order_date) = (SELECT MAX(YEAR(order_date)) -
 GROUP BY vendor ORDER BY total_amount DESC, vendor ASC LIMIT 5""")
 def top_vendors_year(p, year=None, n: int = 5):
     """Top n vendors by spend in a year (default: the last full year = newest year - 1)."""
-    y = F.lit(year) if year is not None else p.agg(F.max(F.year("order_date")) - 1).scalar()
-    v = (p.where(F.col("vendor").isNotNull() & (F.year("order_date") == y))
+    y = F.lit(year) if year is not None else latest_year(p, -1)
+    v = (p.where(F.col("vendor").isNotNull() & in_year(y))
           .groupBy("vendor").agg(money_sum().alias("total_amount")))
     return v.orderBy(F.col("total_amount").desc(), F.col("vendor").asc()).limit(n)
 
@@ -278,8 +290,7 @@ WHERE vendor IS NOT NULL AND region ILIKE '%europe%'
   AND YEAR(order_date) = (SELECT MAX(YEAR(order_date)) - 1 FROM procurement)
 GROUP BY vendor ORDER BY total_amount DESC, vendor ASC LIMIT 10""")
 def top_vendors_region_year(p, region: str = "europe", n: int = 10):
-    y = p.agg(F.max(F.year("order_date")) - 1).scalar()
-    v = (p.where(F.col("vendor").isNotNull() & F.col("region").ilike(f"%{region}%") & (F.year("order_date") == y))
+    v = (p.where(F.col("vendor").isNotNull() & F.col("region").ilike(f"%{region}%") & in_year(latest_year(p, -1)))
           .groupBy("vendor").agg(money_sum().alias("total_amount")))
     return v.orderBy(F.col("total_amount").desc(), F.col("vendor").asc()).limit(n)
 
@@ -582,7 +593,8 @@ FROM procurement WHERE category IS NOT NULL
   AND order_date > (SELECT MAX(order_date) - INTERVAL 12 MONTH FROM procurement)
 GROUP BY 1, 2""")
 def monthly_category_12m(p):
-    start = p.agg(F.add_months(F.max("order_date"), -12)).scalar()
+    newest = p.agg(F.max("order_date")).first()[0]          # one bounded value -> literal, pushed to the scan
+    start = F.add_months(F.lit(newest), -12)
     return (p.where(F.col("category").isNotNull() & (F.col("order_date") > start))
              .groupBy(F.trunc("order_date", "month").alias("month"), "category")
              .agg(money_sum().alias("total_amount")))
@@ -594,9 +606,8 @@ WHERE region ILIKE '%europe%' AND vendor IS NOT NULL AND QUARTER(order_date) = 1
   AND YEAR(order_date) = (SELECT MAX(YEAR(order_date)) FROM procurement)
 GROUP BY vendor""")
 def region_q1_vendor(p, region: str = "europe"):
-    y = p.agg(F.max(F.year("order_date"))).scalar()
     return (p.where(F.col("region").ilike(f"%{region}%") & F.col("vendor").isNotNull()
-                    & (F.quarter("order_date") == 1) & (F.year("order_date") == y))
+                    & in_year(latest_year(p), months=3))
              .groupBy("vendor").agg(n_rows().alias("total_orders"), money_sum().alias("total_amount")))
 
 

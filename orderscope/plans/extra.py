@@ -382,7 +382,7 @@ ORDER BY round(sim, 9) DESC, record_id LIMIT 5""", with_cte))
 
     def similar_recent(s, sf):
         ov = _orders_vec(s, sf)
-        start = ov.agg(F.add_months(F.max("order_date"), -6)).scalar()
+        start = F.add_months(F.lit(ov.agg(F.max("order_date")).first()[0]), -6)   # literal bound, pushed down
         return VS.semantic_orders(ov, _anchor_vec(s, sf), 5, {"date_from": start})
     register("similar_recent", similar_recent,
              _ctx_ov(f"""{hit_sql} FROM (SELECT *, {sim_sql} AS sim FROM order_vectors WHERE summary_embedding IS NOT NULL
