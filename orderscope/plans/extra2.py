@@ -8,6 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..config import ENGINE as C_ENGINE
 from ..functions import text as TX
 from ..operators import ann as ANN
 from ..operators import bm25 as B
@@ -262,7 +263,9 @@ def _retrieval(register, with_cte):
         corpus = H.build_corpus(s, sf)
         q = T.load(s, sf, "benchmark").withColumnRenamed("item_id", "query_id")
         qt = B.query_terms(q, "text", ["query_id"])
-        scores = B.score_terms(corpus.index, qt, ["query_id"])
+        # many queries: broadcast the (query, term) table only below the row bound, else shuffle-join
+        small = qt.count() <= C_ENGINE.broadcast_row_limit
+        scores = B.score_terms(corpus.index, qt, ["query_id"], broadcast_query=small)
         top = TK.topk_per_group(scores, ["query_id"], "bm25", "doc_id", k)
         return top.select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), "rank")
     d = X._corpus_sql()
