@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ENGINE
-from ..functions import vectors as V
 from ..session import shared_dir
 from .topk import topk_per_group
 

@@ -17,7 +17,6 @@ from ..operators import filters as FL
 from ..operators import hybrid as H
 from ..operators import prepare as P
 from ..operators import vector_search as VS
-from ..operators.ranking import with_row_ids
 from ..sources import exports as EX
 from ..sources import fixtures as FX
 from ..sources import tables as T

@@ -3,13 +3,12 @@ sampling, value slots, serialization, ingest round trip, result comparator."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import ENGINE as C_ENGINE
 from ..functions import text as TX
+from ..functions import vectors as V
 from ..operators import ann as ANN
 from ..operators import bm25 as B
 from ..operators import enrich as EN
@@ -146,7 +145,7 @@ SELECT (SELECT COUNT(*) FROM k) AS n_texts, (SELECT COUNT(*) FROM d) AS n_keys,
     def embed_job(s, sf):
         out, _, _ = EN.embed_job(docs_keyed(s, sf), "text_normalized", cache_from_labels(s, sf))
         return out.select("doc_id", "cache_key", F.size("embedding").cast("bigint").alias("dim"),
-                          (F.round(V_norm("embedding"), 6) == 1.0).alias("is_unit"))
+                          (F.round(V.norm("embedding"), 6) == 1.0).alias("is_unit"))
     register("embed_job", embed_job, f"""
 SELECT doc_id, {key_sql} AS cache_key, CAST({C.EMBED_OUTPUT_DIM} AS BIGINT) AS dim,
        len({O.tokens(O.normalize_text('substring(' + O.normalize_text('text') + ', 1, ' + str(lim) + ')'))}) > 0 AS is_unit
@@ -251,11 +250,6 @@ def semantic_text_search(s, sf, query: str = "Machinery URGENT", top_k: int = C.
                        F.round(F.greatest(F.lit(0.0), F.col("_sim")), 6).alias("similarity"))
 
 
-def V_norm(col):
-    from ..functions import vectors as V
-    return V.norm(col)
-
-
 # ----------------------------------------------------------------------------- R9 / R13 / U3
 
 def _retrieval(register, with_cte):
@@ -362,7 +356,11 @@ SELECT doc_id, page, line % 3 AS item_pos, code, CASE WHEN cut THEN tail ELSE de
        quantity, unit_price, total_price FROM lines""", lines=PL.lines_sql()))
     register("payload_stitch", lambda s, sf: PL.payload_stitch(PL.pages(s, sf)), with_cte("""
 SELECT doc_id, page, line % 3 AS item_pos, code, description FROM lines""", lines=PL.lines_sql()))
-    register("sample_n", lambda s, sf: TK.sample_n(FX.procurement(s, sf), 100, 42, KEYS).select(*KEYS, "amount"), None)
+    register("sample_n", lambda s, sf: TK.sample_n(FX.procurement(s, sf), 100, 42, KEYS).select(*KEYS, "amount"),
+             with_cte(f"""SELECT {KEYS_SQL}, amount FROM procurement
+ORDER BY md5('42|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|'
+             || CAST(l_partkey AS VARCHAR) || '|' || CAST(l_suppkey AS VARCHAR)), {KEYS_SQL} LIMIT 100""",
+                      procurement=FX.PROCUREMENT_SQL))
 
     def category_slot(s, sf):
         ids = X._export_ids(s, sf)
