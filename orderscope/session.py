@@ -98,15 +98,21 @@ def materialize(spark: SparkSession, name: str, inputs: list[str], build, *,
     path = shared_dir(spark, "tables", f"{name}-{_fingerprint(spark, inputs)}")
     jvm = spark.sparkContext._jvm
     hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    marker = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not marker.getFileSystem(hconf).exists(marker):
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(hconf)
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
+        # build into a unique sibling, then rename into place: a half-written
+        # output is never visible, and concurrent builders cannot interleave
+        tmp = f"{path}.tmp-{uuid.uuid4().hex}"
         df = build()
         if sort_within:
             df = df.sortWithinPartitions(*sort_within)
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        writer.parquet(tmp)
+        if not fs.exists(target):
+            fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), target)
     return spark.read.parquet(path)
 
 

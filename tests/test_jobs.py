@@ -76,6 +76,13 @@ def test_payload_roundtrip(spark):
     stitched = PL.payload_stitch(pages)
     li = spark.read.parquet(f"{SF001}/lineitem.parquet")
     assert items.count() == li.count() == stitched.count()
+    part = spark.read.parquet(f"{SF001}/part.parquet")
+    li_names = li.join(part, li.l_partkey == part.p_partkey).groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list("p_name")).alias("names"))
+    st_names = stitched.groupBy(F.col("doc_id").alias("l_orderkey")).agg(F.sort_array(F.collect_list("description")).alias("names"))
+    assert li_names.join(st_names, ["l_orderkey", "names"], "left_anti").count() == 0
+    cut = items.join(stitched, ["doc_id", "page", "item_pos"]).where(items.description != stitched.description)
+    assert cut.count() > 0                                   # some descriptions really were cut at a page end
     bad = spark.createDataFrame([(1, 0, '{"items": null, "continuation": {}}'), (2, 0, '{"items": []}')],
                                 "doc_id long, page int, payload string")
     assert PL.payload_items(bad).count() == 0
