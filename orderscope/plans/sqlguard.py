@@ -24,6 +24,7 @@ parameters, so Catalyst/AQE plan it like any other query.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -100,7 +101,15 @@ class SqlGuard:
         self.session.catalog.setCurrentDatabase(_GUARD_DB)
         self.allowed = {t.lower() for t in tables}
         for name, build in tables.items():
-            build(self.session).createOrReplaceTempView(name)
+            df = build(self.session)
+            if df.sparkSession._jsparkSession.equals(self.session._jsparkSession):
+                df.createOrReplaceTempView(name)
+            else:
+                # a frame of the caller's session: share it through a uniquely named global
+                # temp view and alias it under the plain name inside the guard session
+                shared = f"orderscope_guard_{uuid.uuid4().hex[:12]}_{name}"
+                df.createOrReplaceGlobalTempView(shared)
+                self.session.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS SELECT * FROM global_temp.{shared}")
         self.default_limit = default_limit
         self.max_limit = max_limit
 

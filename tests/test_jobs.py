@@ -127,3 +127,27 @@ def test_ingest_helpers(spark, tmp_path):
         require_rows(back.where("1 = 0"))
     with pytest.raises(ValueError):
         require_rows(back, ["nope"])
+
+
+def test_engine_facade(spark):
+    from orderscope.operators import hybrid as H
+    from orderscope.plans import extra as X
+    from orderscope.plans.api import Engine
+
+    def embed64(texts):
+        return np.array([[float(len(t) % 7 + 1)] + [1.0] * 63 for t in texts], dtype=np.float32)
+
+    eng = Engine(spark, X._orders_vec(spark, SF001), X._commesse(spark, SF001),
+                 corpus=H.build_corpus(spark, SF001), embedder=embed64, dim=64)
+    r = eng.run_sql("SELECT COUNT(*) AS n FROM orders WHERE amount >= :m", params={"m": 0})
+    assert r.df.first()["n"] > 0 and r.warnings == ["Added default LIMIT 200"]
+    hits = eng.semantic_search(order_code="7", top_k=3, filters={"amount_min": 0})
+    assert hits.count() == 3 and hits.orderBy(F.desc("similarity")).first()["record_id"] == 7
+    assert eng.semantic_search(query_text="Machinery urgent", top_k=4).count() == 4
+    assert eng.semantic_search_commesse(commessa_code="12", top_k=2).count() == 2
+    assert eng.search("pompa sommersa", top_k=5).count() == 5
+    assert eng.list_schema().count() > 10
+    with pytest.raises(ValueError):
+        eng.semantic_search()
+    with pytest.raises(ValueError):
+        eng.semantic_search(order_code="7", top_k=0)
