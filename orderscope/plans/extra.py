@@ -51,11 +51,18 @@ def _projects(spark, sf):
     return P.derive_commesse(EX.projects_export(spark, sf))
 
 
-def _commesse(spark, sf):
+def _commesse_assembled(spark, sf):
     vec = T.load(spark, sf, "embeddings", ["vec_id", "embedding"]).withColumnRenamed("vec_id", "record_id")
     return P.assemble_commesse(_projects(spark, sf), vec)
 
 
+def _commesse(spark, sf):
+    """The db-ready projects table, assembled once per input version (what the loader persists)."""
+    from ..session import materialize
+    inputs = [T.path(sf, t) for t in ("customer", "nation", "orders", "embeddings")]
+    return materialize(spark, "commesse_ready", inputs, lambda: _commesse_assembled(spark, sf))
+
+
 def _orders_vec(spark, sf):
     return FX.order_vectors(spark, sf)
 
@@ -288,7 +295,7 @@ FROM (SELECT *, {O.combine_text([O.clean_text(c) for c in ['oggetto', 'descrizio
        strftime(ultimazione, '%Y-%m-%d') AS ultimazione FROM projects_raw""", projects_raw=FX.PROJECTS_RAW_SQL))
 
     register("derive_commesse", _projects, _ctx_projects("SELECT * FROM projects", with_cte))
-    register("assemble_commesse", _commesse, _ctx_projects("""
+    register("assemble_commesse", _commesse_assembled, _ctx_projects("""
 SELECT record_id, commessa_code, ditta, nome_commessa, settore, mgo, committente, cliente, ente_appaltante, oggetto,
        oggetto_filled, importo, consegna, ultimazione, codice_gara, responsabile_commessa, responsabile_cantiere,
        preposti, text_raw, text_normalized, oggetto_embedding, num_commessa FROM commesse""", with_cte, vectors=True))
