@@ -61,7 +61,7 @@ def top1(df: DataFrame, order_desc: str, key: str) -> DataFrame:
 
 
 def with_year(df: DataFrame) -> DataFrame:
-    return df.withColumn("year", F.year("order_date"))
+    return df.withColumn("year", F.year("order_date").cast("bigint"))
 
 
 def latest_year(p: DataFrame, offset: int = 0):
@@ -549,7 +549,7 @@ SELECT category, YEAR(order_date) AS year, COUNT(*) AS total_orders FROM procure
 WHERE category IS NOT NULL AND order_date IS NOT NULL GROUP BY 1, 2""")
 def category_year(p):
     return (p.where(F.col("category").isNotNull() & F.col("order_date").isNotNull())
-             .groupBy("category", F.year("order_date").alias("year")).agg(n_rows().alias("total_orders")))
+             .groupBy("category", F.year("order_date").cast("bigint").alias("year")).agg(n_rows().alias("total_orders")))
 
 
 @question("contract_category_avg", """

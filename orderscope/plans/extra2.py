@@ -69,8 +69,8 @@ SQL_CASES = {
                  "FROM orders GROUP BY city), c AS (SELECT committente, COUNT(*) AS n_projects FROM commesse "
                  "GROUP BY committente) SELECT o.city, o.n_lines, o.spend, c.n_projects FROM o "
                  "JOIN c ON o.city = c.committente", None, 200),
-    "sql_window": ("SELECT * FROM (SELECT category, vendor, total, RANK() OVER (PARTITION BY category "
-                   "ORDER BY total DESC, vendor) AS rnk FROM (SELECT category, vendor, CAST(SUM(amount) AS DOUBLE) "
+    "sql_window": ("SELECT * FROM (SELECT category, vendor, total, CAST(RANK() OVER (PARTITION BY category "
+                   "ORDER BY total DESC, vendor) AS BIGINT) AS rnk FROM (SELECT category, vendor, CAST(SUM(amount) AS DOUBLE) "
                    "AS total FROM orders WHERE vendor IS NOT NULL GROUP BY category, vendor) t) r WHERE rnk <= 5",
                    None, 200),
     "sql_setops": ("SELECT vendor FROM orders WHERE category = 'SMALL' INTERSECT "
@@ -399,7 +399,7 @@ FROM (SELECT COALESCE(fornitore, '') AS v, MIN(record_id) AS f FROM export_ids G
                                    else ("CAST(amount AS DOUBLE)" if c == "amount"
                                          else ("order_summary" if c == "summary" else c))) for c in cols)
     register("serialize_rows", serialize_rows, X._ctx_ov(f"""
-SELECT record_id, to_json({{{obj}}}) AS payload FROM (
+SELECT record_id, CAST(to_json({{{obj}}}) AS VARCHAR) AS payload FROM (
   SELECT * FROM (SELECT *, {sim_sql} AS sim FROM order_vectors WHERE summary_embedding IS NOT NULL)
   ORDER BY round(sim, 9) DESC, record_id LIMIT 5)""", with_cte))
 
