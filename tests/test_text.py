@@ -135,3 +135,21 @@ def test_truncate_and_looks_like_sql(spark):
     assert len(got[0]) == C.TRUNCATE_JSON_CHARS and got[0].endswith("...") and got[1] == "short"
     q = spark.createDataFrame([("SELECT a FROM b",), ("with x",), ("hi;",), ("select only",)], "t string")
     assert [r[0] for r in q.select(TX.looks_like_sql("t")).collect()] == [True, True, True, False]
+
+
+def test_strip_accents_random_unicode(spark):
+    """Random strings over Latin, Greek, Cyrillic, combining marks, compatibility forms and CJK."""
+    import random
+    rng = random.Random(11)
+    pools = [range(0x20, 0x7F), range(0xA0, 0x250), range(0x300, 0x370), range(0x370, 0x530),
+             range(0x1E00, 0x1F00), range(0x2000, 0x2070), range(0x2150, 0x2190), range(0xFB00, 0xFB07),
+             range(0x3040, 0x30A0), range(0xFF01, 0xFF5F)]
+    rows = []
+    for i in range(400):
+        chars = [chr(rng.choice(rng.choice(pools))) for _ in range(rng.randint(0, 30))]
+        rows.append((i, "".join(c for c in chars if not 0xD800 <= ord(c) <= 0xDFFF)))
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = {r[0]: r[1] for r in df.select("id", TX.strip_accents("t")).collect()}
+    assert all(got[i] == py_accents(t) for i, t in rows)
+    norm = {r[0]: r[1] for r in TX.with_normalized_text(df, "t", "n").select("id", "n").collect()}
+    assert all(norm[i] == py_normalize(t) for i, t in rows)
