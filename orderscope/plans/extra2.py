@@ -323,6 +323,14 @@ LIMIT {C.DEFAULT_TOP_K}""",
 # ----------------------------------------------------------------------------- F5 / S20 / S21 / A9 / A1 / D48
 
 def _misc(register, with_cte):
+    def na_to_null(s, sf):
+        """A numeric transform yields NaN for some rows (sqrt of a negative deviation); NaN → NULL."""
+        e = T.load(s, sf, "events", ["event_id", "value"])
+        raw = e.select("event_id", F.sqrt(F.col("value") - 10).alias("root"))
+        return P.na_to_null(raw)
+    register("na_to_null", na_to_null,
+             "SELECT event_id, CASE WHEN value - 10 < 0 THEN NULL ELSE sqrt(value - 10) END AS root FROM events")
+
     def stream_ingest(s, sf):
         """Incremental load: export v1 (all rows) and v2 (newest year revised) stream into the change log."""
         import uuid
