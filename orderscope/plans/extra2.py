@@ -334,7 +334,7 @@ def _misc(register, with_cte):
     def stream_ingest(s, sf):
         """Incremental load: export v1 (all rows) and v2 (newest year revised) stream into the change log."""
         import uuid
-        from ..streaming.incremental import current_state, start_changelog
+        from ..streaming.incremental import current_state, run_available, start_changelog
         ex = X._export(s, sf).withColumn("seq", F.lit(1))
         newest = ex.agg(F.max(F.substring("data_ord", 1, 4))).scalar()
         rev = (ex.where(F.substring("data_ord", 1, 4) == newest)
@@ -346,7 +346,7 @@ def _misc(register, with_cte):
         rev.write.parquet(src + "/v2")
         schema = s.read.parquet(src + "/v1").schema
         q, log = start_changelog(s, src + "/*", schema, ["ordine_n", "importo_ordine", "oggetto", "note"])
-        q.awaitTermination()
+        run_available(q)
         cur = current_state(s, log, KEYS)
         return cur.select(*KEYS, "importo_ordine", "seq", "text_normalized")
     register("stream_ingest", stream_ingest, X._ctx_export(f"""

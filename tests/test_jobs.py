@@ -57,14 +57,14 @@ def test_summary_job_reuses_cache(spark):
 
 
 def test_streaming_changelog_last_wins(spark, tmp_path):
-    from orderscope.streaming.incremental import current_state, start_changelog
+    from orderscope.streaming.incremental import current_state, run_available, start_changelog
     src = str(tmp_path / "src")
     schema = "k long, oggetto string, descrizione string, seq int"
     spark.createDataFrame([(1, "Pompa", "x", 1), (2, "Valvola", None, 1)], schema).write.parquet(src + "/v1")
     spark.createDataFrame([(1, "Pompa nuova", "x", 2)], schema).write.parquet(src + "/v2")
     q, log = start_changelog(spark, src + "/*", spark.read.parquet(src + "/v1").schema, ["oggetto"],
                              changelog_dir=str(tmp_path / "log"), checkpoint_dir=str(tmp_path / "ckpt"))
-    q.awaitTermination()
+    run_available(q, 600)
     cur = {r["k"]: r["text_normalized"] for r in current_state(spark, log, ["k"]).collect()}
     assert cur == {1: "pompa nuova | x", 2: "valvola"}
 
