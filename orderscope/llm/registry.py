@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat_rotation, decontaminate, mixing, quality_classifier, quality_rules, sharding
+from . import chat_rotation, decontaminate, lm_scoring, mixing, ngram_jaccard, quality_classifier, quality_rules, sharding, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_chat_rotation": chat_rotation.op6_chat_rotation,
+        "op7_lm_scoring": lm_scoring.op7_lm_scoring,
         "op8_mixing": mixing.op8_mixing,
         "op9_sharding": sharding.op9_sharding,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
@@ -19,6 +22,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.SQL,
+        "op2_substring_dedup": substring_dedup.SQL,
+        "op4_ngram_jaccard": ngram_jaccard.SQL,
         "op5_decontamination": decontaminate.SQL,
         "op6_chat_rotation": chat_rotation.SQL,
     }

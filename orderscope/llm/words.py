@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def join_hash(a, b, salt: int = 0) -> np.ndarray:
     """Order-sensitive combination of two hash arrays."""
-    return mix(np.asarray(a, np.uint64) * U(0x9FB21C651E98DF25) + np.asarray(b, np.uint64) + U(salt * 2 + 1) * U(0xA24BAED4963EE407))
+    return mix(np.asarray(a, np.uint64) * U(0x9FB21C651E98DF25) + np.asarray(b, np.uint64) + U((salt * 2 + 1) * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF))
 
 
 class Words:
