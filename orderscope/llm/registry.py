@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_rotation, decontaminate, lm_scoring, mixing, ngram_jaccard, quality_classifier, quality_rules, sharding, substring_dedup
+from . import chat_rotation, decontaminate, lm_scoring, mixing, ngram_jaccard, quality_classifier, quality_rules, sharding, substring_dedup, token_files
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_token_files": token_files.op3_token_files,
         "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_chat_rotation": chat_rotation.op6_chat_rotation,
