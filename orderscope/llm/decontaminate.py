@@ -26,6 +26,8 @@ ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fingerprints and windows of a benchmark up to this many rows (16 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Tables of matches (one row per document with a match) up to this many bytes are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def word_hashes(text: str) -> Column:
@@ -54,6 +56,11 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _sized_bytes(df: DataFrame, size: Column) -> DataFrame:
+    """Broadcast a table of matches if its measured bytes are few; else it is joined by shuffle."""
+    return F.broadcast(df) if (df.agg(F.sum(size).alias("b")).first()["b"] or 0) <= BROADCAST_BYTES else df
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per contaminated (key, text digest): starts and lengths of hit windows (``spans``) and ``items``."""
     items = benchmark.select("item_id", word_hashes("text").alias("h"))
@@ -73,7 +80,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     found = written(found, "op5-candidates").withColumnsRenamed({"__key": "__k", "__digest": "__d"})
     # extension of the joined fingerprints: windows that hold one, in the documents that have one
     near = (docs.select(F.col(key).alias("__key"), digest.alias("__digest"), F.col(text).alias("__text"))
-            .join(found, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__digest") == F.col("__d")))
+            .join(_sized_bytes(found, F.size("fps") * 8 + 100), F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__digest") == F.col("__d")))
             .withColumn("h", word_hashes("__text")).withColumn("g", gram_hashes("h", K)).withColumn("w10", gram_hashes("h", WINDOW))
             .withColumn("at", F.expr("filter(transform(g, (x, i) -> CASE WHEN array_contains(fps, x) THEN i END), x -> x IS NOT NULL)"))
             .withColumn("starts", F.expr(f"array_distinct(flatten(transform(at, p -> sequence(greatest(p - {GUARANTEE - 1}, 0), least(p, size(h) - {WINDOW})))))")))
@@ -97,7 +104,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     """Columns of ``docs`` with __hits (words hit) and __items; texts stay where they are unless many are hit."""
     found = written(hits(docs, benchmark, key, text).select("__key", "__digest", covered("spans").alias("__hits"), F.col("items").alias("__items")), "op5-hits")
     mine = docs.withColumn("__d", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    return mine.join(found, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__d") == F.col("__digest")), "left").drop("__key", "__digest", "__d")
+    size = F.aggregate("__items", F.lit(100), lambda a, x: a + F.length(x) + 16)
+    return mine.join(_sized_bytes(found, size), F.col(key).eqNullSafe(F.col("__key")) & (F.col("__d") == F.col("__digest")), "left").drop("__key", "__digest", "__d")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
