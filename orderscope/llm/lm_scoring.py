@@ -27,6 +27,8 @@ from .words import U, chunks, join_hash
 
 FOLDS, HELD = 7, 2
 DISCOUNT, HEAPS = 1.5, 0.8
+#: Larger chunks ask less often about the same word or bigram.
+CHUNK_TEXT = 9 << 20
 START, END = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
 
 
@@ -82,7 +84,7 @@ def held_out(ids: pa.Array) -> np.ndarray:
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    docs, parts = dealt(docs)
+    docs, parts = dealt(docs, chunk_text=CHUNK_TEXT)
 
     def ask(table: pa.Table) -> pa.Table:
         table = by_doc(table)
@@ -105,9 +107,9 @@ def scored(docs: DataFrame) -> DataFrame:
                 size = np.array([total[real].sum(), (total[real] > 0).sum()], np.uint64)
             ends = np.cumsum([len(s[k]) for s in sent])
             out.append([total[at[e - len(s[k]): e]] for s, e in zip(sent, ends)])
-        # bigram counts travel in 4 bytes where they fit
-        small = [p.astype(np.uint32) if p.max(initial=0) < 1 << 32 else p for p in out[1]]
-        return [packed(size, w, p.view(np.uint8)) for w, p in zip(out[0], small)]
+        # counts travel in 4 bytes where they fit
+        small = [[c.astype(np.uint32) if c.max(initial=0) < 1 << 32 else c for c in counts] for counts in out]
+        return [packed(size, w.view(np.uint8), p.view(np.uint8)) for w, p in zip(*small)]
 
     def use(table: pa.Table, answers: dict) -> pa.Table:
         table = by_doc(table)
@@ -117,12 +119,11 @@ def scored(docs: DataFrame) -> DataFrame:
         po, pa_ = split_parts(a.pairs, parts)
         size = np.zeros(2, np.uint64)
         for i in range(parts):
-            n, w, p = unpacked(answers[i], np.uint64, np.uint64, np.uint8)
-            mine = po[pa_[i]: pa_[i + 1]]
+            n, w, p = unpacked(answers[i], np.uint64, np.uint8, np.uint8)
             size += n
-            words[wo[wa[i]: wa[i + 1]]] = w
-            if len(mine):
-                pairs[mine] = p.view(np.uint64 if len(p) == 8 * len(mine) else np.uint32)
+            for counts, mine, body in ((words, wo[wa[i]: wa[i + 1]], w), (pairs, po[pa_[i]: pa_[i + 1]], p)):
+                if len(mine):
+                    counts[mine] = body.view(np.uint64 if len(body) == 8 * len(mine) else np.uint32)
         known, base, score = a.traverse(words, pairs, int(size[0]), int(size[1]))
         n = len(known)
         return pa.table({"doc_id": table["doc_id"], "held_out": pa.array(held_out(table["doc_id"])), "n_tokens": pa.array(np.diff(a.bounds), pa.int64()),

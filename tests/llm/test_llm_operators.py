@@ -38,7 +38,7 @@ def small_chunks(monkeypatch):
     """Many chunks and parts even for small tables."""
     small = exchange.dealt
     for m in (ngram_jaccard, substring_dedup, lm_scoring):
-        monkeypatch.setattr(m, "dealt", lambda d, **k: small(d, chunk_text=40_000, part_text=60_000))
+        monkeypatch.setattr(m, "dealt", lambda d, chunk_text=0: small(d, chunk_text=40_000, part_text=60_000))
 
 
 @pytest.mark.parametrize("rows", [ROWS, EMPTY, C.documents(seed=5, n=30)], ids=["awkward", "empty", "other"])
