@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 
-_GUARD_DB = "orderscope_guard_empty"
 _REFLECT = ("reflect", "java_method", "try_reflect")
 
 
@@ -78,18 +77,40 @@ def serialize_columns(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def apply_limit_policy(sql: str, default_limit: int, max_limit: int) -> tuple[str, list[str], int]:
-    """returns (sql, warnings, outer limit)."""
-    warnings: list[str] = []
-    m = re.search(r"limit\s+(\d+)", sql.lower())
-    if m:
-        val = int(m.group(1))
-        if val > max_limit:
-            warnings.append(f"LIMIT reduced from {val} to {max_limit}")
-            sql = re.sub(r"limit\s+\d+", f"LIMIT {max_limit}", sql, flags=re.IGNORECASE)
-        return sql, warnings, max_limit
-    warnings.append(f"Added default LIMIT {default_limit}")
-    return sql, warnings, default_limit
+_WRITES = re.compile("Insert|Create|Replace|Drop|Alter|Delete|Update|Merge|Truncate|Command|SetCatalog|Overwrite|Append")
+
+
+def _scala(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def plan_nodes(plan):
+    """Every node of a parsed plan: children, common table expressions and subqueries in expressions."""
+    yield plan
+    for more in (plan.children(), plan.innerChildren(), plan.subqueries()):
+        for child in _scala(more):
+            if hasattr(child, "nodeName"):
+                yield from plan_nodes(child)
+
+
+def outer_limit(plan) -> int | None:
+    """The constant LIMIT of the whole statement; limits of inner queries and literals do not count."""
+    while plan.nodeName() == "UnresolvedWith":
+        plan = plan.child()
+    if plan.nodeName() != "GlobalLimit":
+        return None
+    limit = plan.limitExpr().toString()
+    return int(limit) if limit.isdigit() else None
+
+
+def limit_policy(plan, default_limit: int, max_limit: int) -> tuple[list[str], int]:
+    """(warnings, row bound put around the statement). The text itself is never changed."""
+    asked = outer_limit(plan)
+    if asked is None:
+        return [f"Added default LIMIT {default_limit}"], default_limit
+    if asked > max_limit:
+        return [f"LIMIT reduced from {asked} to {max_limit}"], max_limit
+    return [], max_limit
 
 
 class SqlGuard:
@@ -97,11 +118,6 @@ class SqlGuard:
                  default_limit: int = C.SQL_DEFAULT_LIMIT, max_limit: int = C.SQL_MAX_LIMIT):
         self.session = spark.newSession()
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
-        try:   # an empty current database; where the metastore forbids it, the plan checks still refuse
-            self.session.sql(f"CREATE DATABASE IF NOT EXISTS {_GUARD_DB}")   # catalog tables
-            self.session.catalog.setCurrentDatabase(_GUARD_DB)
-        except Exception:
-            pass
         self.allowed = {t.lower() for t in tables}
         for name, build in tables.items():
             df = build(self.session)
@@ -117,16 +133,23 @@ class SqlGuard:
         self.max_limit = max_limit
 
     # -- checks --------------------------------------------------------------
-    def _precheck(self, sql: str) -> str:
+    def _parsed(self, sql: str):
+        """The statement without its last semicolon, and its parsed plan; anything but a query is refused."""
         cleaned = sql.strip().rstrip(";").strip()
-        low = cleaned.lower()
-        if not (low.startswith("select") or low.startswith("with")):
+        first = re.match(r"\w*", cleaned).group().lower()
+        if first not in ("select", "with"):
             raise ValueError("Only SELECT or WITH queries are allowed.")
-        if re.search(r"\b(" + "|".join(C.SQL_FORBIDDEN) + r")\b", low):
-            raise ValueError("Mutating SQL statements are not allowed.")
-        return cleaned
+        try:
+            plan = self.session._jsparkSession.sessionState().sqlParser().parsePlan(cleaned)
+        except Exception as e:  # noqa: BLE001 - several statements, syntax errors
+            raise ValueError(f"Query rejected: {str(e).splitlines()[0][:300]}") from None
+        for node in plan_nodes(plan):
+            if _WRITES.search(node.nodeName()):
+                raise ValueError("Mutating SQL statements are not allowed.")
+        return cleaned, plan
 
-    def _plan_check(self, wrapped: str, params: dict | None) -> None:
+    def _plan_check(self, wrapped: str, plan, params: dict | None) -> set[str]:
+        """Refuse everything outside the allow-list; returns the allowed tables that the parsed plan names."""
         try:
             text = self.session.sql("EXPLAIN EXTENDED " + wrapped, args=params or None).first()[0]
         except Exception as e:  # parse errors: DDL, DML, several statements
@@ -138,34 +161,33 @@ class SqlGuard:
         for fn in _REFLECT:
             if re.search(rf"'{fn}\(", parsed, re.IGNORECASE):
                 raise ValueError(f"Function {fn} is not allowed.")
-        ctes = {m.lower() for m in re.findall(r"CTERelationDef \d+, \w*\s*\n?\s*.*?SubqueryAlias (\w+)", parsed)}
-        ctes |= {m.lower() for m in re.findall(r"(?i)(?:with|,)\s*([a-z_][a-z0-9_]*)\s+as\s*\(", wrapped)}
-        names = re.findall(r"'UnresolvedRelation \[([^\]]*)\]", parsed)
-        bad = set()
-        for n in names:
-            parts = [p.strip().strip("`").lower() for p in n.split(",")]
-            if len(parts) != 1 or (parts[0] not in self.allowed and parts[0] not in ctes):
-                bad.add(".".join(parts))
+        ctes, names = set(), []
+        for node in plan_nodes(plan):
+            if node.nodeName() == "UnresolvedWith":
+                ctes |= {r._1().lower() for r in _scala(node.cteRelations())}
+            elif node.nodeName() == "UnresolvedRelation":
+                names.append([x.lower() for x in _scala(node.multipartIdentifier())])
+        bad = {".".join(n) for n in names if len(n) != 1 or n[0] not in self.allowed | ctes}
         if bad:
             raise ValueError(f"Query references tables outside allowlist: {sorted(bad)}")
         if "AnalysisException" in analyzed:
             raise ValueError(f"Query rejected: {analyzed.strip().splitlines()[0][:300]}")
         if re.search(r"SubqueryAlias spark_catalog\.", analyzed):
             raise ValueError("Query references a catalog table outside the allowlist.")
+        return {n[0] for n in names if n[0] in self.allowed}
 
     # -- entry points ---------------------------------------------------------
     def enforce(self, sql: str, limit: int | None = None) -> tuple[str, list[str], int]:
-        """H1: sanitized SQL, warnings and the outer LIMIT."""
-        cleaned = self._precheck(sql)
-        effective = min(limit or self.default_limit, self.max_limit)
-        return apply_limit_policy(cleaned, effective, self.max_limit)
+        """H1: the statement, warnings and its row bound."""
+        cleaned, plan = self._parsed(sql)
+        return cleaned, *limit_policy(plan, min(limit or self.default_limit, self.max_limit), self.max_limit)
 
     def run(self, sql: str, params: dict[str, Any] | None = None, limit: int | None = None,
             dataset: str | None = None) -> QueryResult:
-        """H2 (+H3 when ``dataset`` is given: the text must mention that table)."""
-        if dataset and not re.search(rf"\b{re.escape(dataset)}\b", sql, re.IGNORECASE):
-            raise ValueError(f"Query must target the {dataset} table.")
+        """H2 (+H3 when ``dataset`` is given: the parsed plan must read that table)."""
         cleaned, warnings, outer = self.enforce(sql, limit)
         wrapped = f"SELECT * FROM (\n{cleaned}\n) LIMIT {outer}"
-        self._plan_check(wrapped, params)
+        read = self._plan_check(wrapped, self._parsed(sql)[1], params)
+        if dataset and dataset.lower() not in read:
+            raise ValueError(f"Query must target the {dataset} table.")
         return QueryResult(cleaned, self.session.sql(wrapped, args=params or None), warnings)

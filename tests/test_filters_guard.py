@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderscope.operators import filters as FL
-from orderscope.plans.sqlguard import SqlGuard, apply_limit_policy
+from orderscope.plans.sqlguard import SqlGuard
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +54,16 @@ def test_aliases_and_nested_filters():
     assert c == {"max_importo": 3}
 
 
+def test_alias_rules():
+    assert FL.normalize_filter_args({"importo_min": 1, "filters": {"importo_min": 2}}) == {"min_amount": 2}
+    assert FL.normalize_filter_args({"min_amount": 1, "filters": {"amount_min": 2}}) == {"min_amount": 1, "amount_min": 2}
+    assert FL.normalize_filter_args(None) == {} == FL.normalize_filter_args({"filters": None})
+
+
+def test_backslash_is_itself(orders):
+    assert ids(orders.where(FL.order_filter({"vendor": "a\\\\b"}, None))) == []
+
+
 def test_lookup_code_by_code_or_id(orders):
     assert FL.lookup_code(orders, "7").first()["record_id"] == 3
     assert FL.lookup_code(orders, "2").first()["record_id"] == 2
@@ -67,15 +77,6 @@ def test_top_k_bounds():
             FL.check_top_k(bad)
 
 
-def test_limit_policy():
-    s, w, outer = apply_limit_policy("select * from orders limit 9999", 200, 500)
-    assert "LIMIT 500" in s and w == ["LIMIT reduced from 9999 to 500"] and outer == 500
-    s, w, outer = apply_limit_policy("select * from (select * from orders LIMIT 10) t", 200, 500)
-    assert w == [] and outer == 500
-    s, w, outer = apply_limit_policy("select 1", 200, 500)
-    assert w == ["Added default LIMIT 200"] and outer == 200
-
-
 @pytest.fixture(scope="module")
 def guard(spark, orders):
     return SqlGuard(spark, {"orders": lambda s: s.createDataFrame(orders.collect(), orders.schema)})
@@ -90,26 +91,49 @@ def test_guard_runs_and_limits(guard):
     assert r.df.count() == 2
 
 
-@pytest.mark.parametrize("sql", [
-    "DROP TABLE orders",
-    "insert into orders select * from orders",
-    "SELECT 1; DROP TABLE orders",
-    "SELECT * FROM parquet.`/root/testdata/sf0.001/orders.parquet`",
-    "SELECT * FROM lineitem",
-    "WITH customer AS (SELECT * FROM customer) SELECT * FROM customer",
-    "SELECT reflect('java.lang.System', 'getenv', 'HOME')",
-    "SELECT * FROM IDENTIFIER('default' || '.orders')",
-    "SELECT * FROM spark_catalog.default.orders",
-    "(SELECT 1)",
+@pytest.mark.parametrize(("sql", "warnings", "bound"), [
+    ("select * from orders limit 9999", ["LIMIT reduced from 9999 to 500"], 500),
+    ("select * from (select * from orders LIMIT 10) t", ["Added default LIMIT 200"], 200),
+    ("select 'limit 9999' AS x from orders", ["Added default LIMIT 200"], 200),
+    ("with o as (select * from orders limit 3000) select * from o limit 7", [], 500),
+    ("select 1", ["Added default LIMIT 200"], 200),
 ])
-def test_guard_refuses(guard, sql):
-    with pytest.raises(Exception):
-        guard.run(sql).df.collect()
+def test_limit_policy_reads_the_plan(guard, sql, warnings, bound):
+    assert guard.enforce(sql) == (sql, warnings, bound)
+
+
+def test_inner_limits_and_literals_are_kept(guard):
+    inner = "SELECT COUNT(*) AS n FROM (SELECT a.id FROM (SELECT explode(sequence(1, 4000)) AS id FROM orders) a LIMIT 3000) t"
+    assert guard.run(inner).df.first()["n"] == 3000
+    assert guard.run("SELECT 'limit 1000; update' AS x FROM orders WHERE vendor NOT ILIKE '%update%'").df.first()["x"] == "limit 1000; update"
+
+
+@pytest.mark.parametrize(("sql", "says"), [
+    ("DROP TABLE orders", "Only SELECT"),
+    ("insert into orders select * from orders", "Only SELECT"),
+    ("WITH o AS (SELECT 1) INSERT INTO orders SELECT * FROM o", "Mutating"),
+    ("SELECT 1; DROP TABLE orders", "rejected"),
+    ("SELECT * FROM parquet.`/root/testdata/sf0.001/orders.parquet`", "allowlist"),
+    ("SELECT * FROM lineitem", "allowlist"),
+    ("SELECT (SELECT max(x) FROM lineitem) AS m FROM orders", "allowlist"),
+    ("SELECT 'with lineitem as (' AS x FROM lineitem", "allowlist"),
+    ("WITH customer AS (SELECT * FROM customer) SELECT * FROM customer", "rejected|allowlist"),
+    ("SELECT reflect('java.lang.System', 'getenv', 'HOME')", "not allowed"),
+    ("SELECT * FROM IDENTIFIER('default' || '.orders')", "not allowed"),
+    ("SELECT * FROM spark_catalog.default.orders", "allowlist"),
+    ("(SELECT 1)", "Only SELECT"),
+])
+def test_guard_refuses(guard, sql, says):
+    with pytest.raises(ValueError, match=says):
+        guard.run(sql)
 
 
 def test_guard_dataset_scope(guard):
     with pytest.raises(ValueError):
         guard.run("SELECT 1 AS x", dataset="orders")
+    with pytest.raises(ValueError):
+        guard.run("SELECT 'orders' AS x", dataset="orders")
+    assert guard.run("SELECT record_id FROM orders", dataset="orders").df.count() == 4
 
 
 def test_na_to_null_after_pandas_roundtrip(spark, orders):
