@@ -17,6 +17,7 @@ vectors of the probed lists.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,10 @@ from ..session import shared_dir
 from .topk import topk_per_group
 
 
+#: Vectors of one broadcast block of queries, in bytes of float64.
+QUERY_BLOCK_BYTES = 32 << 20
+
+
 def _unit(mat: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(mat, axis=1, keepdims=True)
     return mat / np.where(n == 0, 1.0, n)
@@ -48,17 +53,16 @@ def batch_vector_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str
                       salt_buckets: int = 16) -> DataFrame:
     """R9 (vector part): exact cosine top-k for every query; (query_id, id, score, rank).
 
-    Queries are broadcast in blocks of at most ``ENGINE.broadcast_row_limit``
-    rows (size checked by a count); more queries → several blocks, unioned."""
-    n = queries.count()
-    blocks = max(1, -(-n // ENGINE.broadcast_row_limit))
-    if blocks > 1:
-        parts = [batch_vector_topk(corpus, queries.where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b), k,
-                                   id_col, vec_col, qid, qvec, salt_buckets) for b in range(blocks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    Queries are broadcast in flat blocks of about ``QUERY_BLOCK_BYTES`` of vectors, one pass over the
+    corpus each, unioned."""
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("dim")).first()
+    blocks = int(size["n"] * (size["dim"] or 0) * 8 // QUERY_BLOCK_BYTES) + 1
+    parts = [_topk_of_block(corpus, queries.where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b), k, id_col, vec_col, qid, qvec, salt_buckets)
+             for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _topk_of_block(corpus, queries, k, id_col, vec_col, qid, qvec, salt_buckets) -> DataFrame:
     spark = corpus.sparkSession
     qids, qmat = _query_block(queries, qid, qvec)
     bq = spark.sparkContext.broadcast((qids, qmat))
