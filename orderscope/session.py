@@ -43,6 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = os.path.join("/tmp", f"orderscope-ckpt-{uuid.uuid4().hex[:8]}")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
@@ -116,7 +118,3 @@ def materialize(spark: SparkSession, name: str, inputs: list[str], build, *,
     return spark.read.parquet(path)
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder (never a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

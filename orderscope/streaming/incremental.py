@@ -52,11 +52,9 @@ def start_changelog(spark: SparkSession, source_dir: str, schema, signature_cols
     return writer.start(changelog_dir), changelog_dir
 
 
-def run_available(query: StreamingQuery, timeout_s: int = 1800) -> None:
-    """Wait for an availableNow query to drain its input; stop it and fail if it does not finish."""
-    if not query.awaitTermination(timeout_s):
-        query.stop()
-        raise TimeoutError(f"streaming query did not finish within {timeout_s} s")
+def run_available(query: StreamingQuery) -> None:
+    """Wait for an availableNow query to drain its input, however long that takes."""
+    query.awaitTermination()
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
 

@@ -64,7 +64,7 @@ def test_streaming_changelog_last_wins(spark, tmp_path):
     spark.createDataFrame([(1, "Pompa nuova", "x", 2)], schema).write.parquet(src + "/v2")
     q, log = start_changelog(spark, src + "/*", spark.read.parquet(src + "/v1").schema, ["oggetto"],
                              changelog_dir=str(tmp_path / "log"), checkpoint_dir=str(tmp_path / "ckpt"))
-    run_available(q, 600)
+    run_available(q)
     cur = {r["k"]: r["text_normalized"] for r in current_state(spark, log, ["k"]).collect()}
     assert cur == {1: "pompa nuova | x", 2: "valvola"}
 
