@@ -62,20 +62,3 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the text itself is not shuffled: from here on its digest stands for it
     rows = rows.drop("text").withColumnRenamed("__digest", "text")
     return with_slots(rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
-
-
-_CRC = """
-crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (
-  SELECT i, list_reduce(list_prepend(i, range(8)), (c, k) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
-  FROM range(256) r(i)))"""
-
-SQL = """
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, ''))) AS k FROM documents),
-n AS (SELECT count(*) // 320000 + 1 AS b FROM d),
-r AS (SELECT d.*, s, -ln((CAST('0x' || substr(md5(k || ':' || s), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS t
-      FROM d, range(17) x(s)),
-p AS (SELECT doc_id, text, k, min_by(s, t) FILTER (s < 16) AS shard, min_by(s, t) AS grown_shard FROM r GROUP BY ALL),
-q AS (SELECT p.*, md5(k || '/' || md5(md5(text))) AS spread, b FROM p, n)
-SELECT doc_id, strlen(text) + 1 AS size, 'key' AS law, CAST(shard AS INTEGER) AS shard, CAST(grown_shard AS INTEGER) AS grown_shard,
-  row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(spread, 1, 8) AS BIGINT) % b, spread) - 1 AS slot
-FROM q"""
