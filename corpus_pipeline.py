@@ -20,12 +20,14 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go (statistics carry the row along, so no join is needed)."""
+    """Documents that the classifier rejects go (statistics carry the row along, so no join is needed).
+    The fit takes the statistics of its labelled rows only, bounded by its documented sample."""
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    sample = F.broadcast(quality_classifier.fit_labels(labels).select("doc_id"))  # at most MAX_FIT_ROWS ids
+    fitted = docs.select("doc_id", "text").join(sample, "doc_id", "left_semi")
+    forest = quality_classifier.fit(written(quality_classifier.statistics(fitted), "pipeline-stats"), labels)
     rows = docs.select(*COLUMNS).withColumn("__text", F.col("text"))
     stats = quality_classifier.statistics(rows, "__text")
-    # the fit reads ids and statistics only
-    forest = quality_classifier.fit(written(quality_classifier.statistics(docs.select("doc_id", "text")), "pipeline-stats"),
-                                    table(spark, sf_dir, "labels", "doc_id", "quality"))
     return quality_classifier.scored(stats, forest).where("predicted = 1").select(*COLUMNS)
 
 
@@ -33,8 +35,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group stays: the one whose id names the component (texts without words all
     stay; of rows with the same id one with the component's id stays)."""
     found = ngram_jaccard.near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    keep = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id"))
+            .agg(F.count(F.lit(1)).alias("__n")))
+    rows = docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("__id")))
+    # only ids that occur more than once need their texts compared
+    once, again = rows.where("__n = 1").select(*COLUMNS), rows.where("__n > 1").select(*COLUMNS)
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

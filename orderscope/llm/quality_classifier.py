@@ -172,13 +172,19 @@ def fold(doc_id, folds: int = 5):
     return F.crc32(F.col(doc_id).cast("string")) % folds
 
 
+def fit_labels(labels: DataFrame, label: str = "quality", folds: int = 5, held_fold: int = 0,
+               max_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """doc_id and y of at most ``max_rows`` labels outside the held-out fold, by smallest hash of the id
+    (null ids and null labels are not used; several labels of one id count as their largest)."""
+    return (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", folds) != held_fold))
+            .groupBy("doc_id").agg(F.max(label).alias("y"))
+            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+
+
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_fold: int = 0,
         max_rows: int = MAX_FIT_ROWS) -> Forest:
-    """Grow the forest on at most ``max_rows`` labelled rows outside the held-out fold (null ids and
-    null labels are not used; several labels of one id count as their largest)."""
-    known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", folds) != held_fold))
-             .groupBy("doc_id").agg(F.max(label).alias("y"))
-             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+    """Grow the forest on the rows of ``stats`` that ``fit_labels`` names."""
+    known = fit_labels(labels, label, folds, held_fold, max_rows)
     rows = stats.join(known, "doc_id").select("doc_id", "stats", "y").orderBy("doc_id", F.xxhash64("stats")).limit(max_rows).collect()
     x = np.array([r["stats"] for r in rows], np.float32).reshape(len(rows), len(FEATURES))
     return grow(x, np.array([float(r["y"]) for r in rows]))
