@@ -5,7 +5,7 @@
    has, among its rarest n - ceil(3n/4) + 1 shingles, one that the other has too: sets whose rarest
    ones are all their own drop out, the others keep those as tokens.
 2. Equal sets are one class. Classes that share a token meet in size bands (the larger is at most 4/3
-   of the smaller), first against one leader per token, then, as far as they are still in different
+   of the smaller), first against a few leaders per token, then, as far as they are still in different
    components, against each other. Hashed bitmaps of the sets bound the overlap from above by the
    bits they differ in; pairs that pass are intersected exactly as sorted arrays.
 3. Components grow from the links by star contraction, all in DataFrames.
@@ -29,7 +29,9 @@ from .words import U, chunks, inside_docs, join_hash, mix, ngram_hashes
 
 N = 5
 BITS = 1024
-MAX_ROUNDS = 8
+#: Leaders per token and round, by hash: the leader of one token is then mostly that of its neighbours too.
+LEADERS = 4
+MAX_ROUNDS = 3
 #: Leaders go on while the pairs left to test are more than this many times the rows.
 PAIRS_PER_ROW = 2
 
@@ -146,23 +148,31 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     maybe = written(_both(pairs, sets, "bitmap").select("a", "b", "bitmap_a", "bitmap_b", "n_a", "n_b").mapInArrow(bounded, "a binary, b binary"), "op4-maybe")
-    return _both(maybe, sets, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a binary, b binary")
+    # only the sets of pairs that are left travel
+    ends = written(maybe.select(F.col("a").alias("cls")).union(maybe.select("b")).distinct(), "op4-ends")
+    return _both(maybe, sets.join(ends, "cls", "left_semi"), "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a binary, b binary")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): each node of ``links`` with the smallest node of its component, by large-star and
     small-star steps until nothing changes. Every round is written, so a lost executor redoes one round."""
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
+    state = _digest(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        after = written(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = after
+        edges = written(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
+        before, state = state, _digest(edges)
+        if state == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _digest(edges: DataFrame) -> tuple:
+    """Number and combined hashes of distinct edges: equal when a step changed nothing."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
 
 
 def _band(n):
@@ -173,28 +183,29 @@ def class_components(sets: DataFrame) -> DataFrame:
     """(node, root) over linked classes."""
     spark = sets.sparkSession
     index = written(sets.select("cls", "n", F.explode("tokens").alias("token"), F.col("cls").alias("root")), "op4-index")
-    links = spark.createDataFrame([], "a binary, b binary")
     roots = spark.createDataFrame([], "node binary, root binary")
 
     def unresolved(index, roots):
-        index = index.drop("root").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        open_ = index.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("cls", "n")).alias("lead"),
-                                           F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-        return written(index.join(open_.select("token", "c", "lead"), "token"), "op4-index")
+        index = index.drop("root", "c", "leads").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        leads = [F.min(F.struct(F.xxhash64("cls", F.lit(j)).alias("h"), "cls", "n", "root")) for j in range(LEADERS)]
+        open_ = (index.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.array_distinct(F.transform(F.array(*leads), lambda x: x.dropFields("h"))).alias("leads"),
+                                            F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1"))
+        return written(index.join(open_.select("token", "c", "leads"), "token"), "op4-index")
 
     for _ in range(MAX_ROUNDS):
         index = unresolved(index, roots)
-        left = index.groupBy("token").agg(F.count(F.lit(1)).alias("c")).agg(
-            F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
+        # every row of a token carries its c: their halves of c - 1 make the c * (c - 1) / 2 pairs
+        left = index.agg(F.sum((F.col("c") - 1) / 2).alias("pairs"), F.count(F.lit(1)).alias("rows")).first()
         if not left["rows"]:
             return roots
         if left["pairs"] <= PAIRS_PER_ROW * left["rows"]:
             break
-        near = (F.least("n", "lead.n") * 4 >= F.greatest("n", "lead.n") * 3) & (F.col("cls") != F.col("lead.cls"))
-        pairs = index.where(near).select(F.col("lead.cls").alias("a"), F.col("cls").alias("b")).distinct()
-        links = written(links.union(linked(pairs, sets)), "op4-links")
-        roots = components(links)
-        index = index.where(F.col("cls") != F.col("lead.cls")).select("cls", "n", "token", "root")  # the leader has met all
+        near = (F.least("n", "lead.n") * 4 >= F.greatest("n", "lead.n") * 3) & (F.col("root") != F.col("lead.root"))
+        pairs = index.withColumn("lead", F.explode("leads")).where(near).select(
+            F.least("lead.cls", "cls").alias("a"), F.greatest("lead.cls", "cls").alias("b")).distinct()
+        roots = components(written(roots.toDF("a", "b").union(linked(pairs, sets)), "op4-links"))
+        # the leaders have met all others of their token
+        index = index.where(~F.exists("leads", lambda x: x["cls"] == F.col("cls")))
     else:
         index = unresolved(index, roots)
     # tiles: the smaller set of a pair stands in its size band and the next one, the larger in its own
@@ -202,7 +213,7 @@ def class_components(sets: DataFrame) -> DataFrame:
     small = index.select("token", F.explode(F.array(_band(F.col("n")), _band(F.col("n")) + 1)).alias("band"), F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
     pairs = small.join(large, ["token", "band"]).where(
         "root_a != root_b AND 4 * n_a >= 3 * n_b AND (n_a < n_b OR (n_a = n_b AND a < b))").select("a", "b").distinct()
-    return components(written(links.union(linked(pairs, sets)), "op4-links"))
+    return components(written(roots.toDF("a", "b").union(linked(pairs, sets)), "op4-links"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
