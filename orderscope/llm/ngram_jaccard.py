@@ -30,8 +30,8 @@ from .words import U, chunks, inside_docs, join_hash, mix, ngram_hashes
 N = 5
 BITS = 1024
 #: Leaders per token and round, by hash: the leader of one token is then mostly that of its neighbours too.
-LEADERS = 4
-MAX_ROUNDS = 3
+LEADERS = 1
+MAX_ROUNDS = 8
 #: Leaders go on while the pairs left to test are more than this many times the rows.
 PAIRS_PER_ROW = 2
 
@@ -141,8 +141,8 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def exact(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column(2), b.column(3)):  # views of the batch, not copies
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= 75 * (len(x) + len(y) - common))
             yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
