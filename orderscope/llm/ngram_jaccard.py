@@ -4,14 +4,15 @@
    only make a shingle look more common). Two sets as similar as this share 3/4 of either, so each
    has, among its rarest n - ceil(3n/4) + 1 shingles, one that the other has too: sets whose rarest
    ones are all their own drop out, the others keep those as tokens.
-2. Equal sets are one class. Classes that share a token meet in size bands (the larger is at most 4/3
-   of the smaller), first against a few leaders per token, then, as far as they are still in different
-   components, against each other. Hashed bitmaps of the sets bound the overlap from above by the
-   bits they differ in; pairs that pass are intersected exactly as sorted arrays.
+2. Equal sets are one class. Classes that share a token meet first against a leader of the token, then, as
+   far as they are still in different components, each other in tiles of a token and a size band (the
+   larger is at most 4/3 of the smaller). Hashed bitmaps of the sets bound the overlap from above by
+   the bits they differ in, inside the tile, so that only pairs that pass become rows; those are
+   intersected exactly as sorted arrays.
 3. Components grow from the links by star contraction, all in DataFrames.
 
 Leaders join large families of near copies without testing all pairs; pairs inside one component need
-no test. Texts without words, and null texts, have no set and link with nothing. Fewer words than a
+no test; pairs left are tested in tiles, 16 machine words each. Texts without words, and null texts, have no set and link with nothing. Fewer words than a
 shingle are one shingle. Repeated rows and null ids are members like others: a component's id is its
 smallest id that is not null.
 """
@@ -29,11 +30,12 @@ from .words import U, chunks, inside_docs, join_hash, mix, ngram_hashes
 
 N = 5
 BITS = 1024
-#: Leaders per token and round, by hash: the leader of one token is then mostly that of its neighbours too.
-LEADERS = 1
-MAX_ROUNDS = 8
-#: Leaders go on while the pairs left to test are more than this many times the rows.
-PAIRS_PER_ROW = 2
+#: Rounds of leaders. After the fewest they go on while bitmap tests left in tiles are more than this many per row.
+MIN_ROUNDS, MAX_ROUNDS = 2, 8
+TESTS_PER_ROW = 1024
+#: Rows of a token that make a block; a tile is a pair of blocks. Rows of tiles handled in one call, about.
+BLOCK = 1024
+CALL_ROWS = 8192
 
 
 def shingle_sets(texts, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -128,16 +130,62 @@ def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return pairs
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes with intersection of at least 3/4 of the union."""
-    def bounded(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BITS // 8) for i in (2, 3))
-            differ = np.unpackbits(x ^ y, axis=1).sum(1).astype(np.int64)
-            both = b.column(4).to_numpy() + b.column(5).to_numpy()
-            most = (both - differ) // 2  # every differing bit is an element of one set only
-            yield b.filter(pa.array(100 * most >= 75 * (both - most))).select([0, 1])
+def may_link(n_x, n_y, x, y) -> np.ndarray:
+    """Whether sets of these sizes and bitmaps (rows of 64-bit words) can be similar enough."""
+    both = n_x + n_y
+    most = (both - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) // 2  # a differing bit is an element of one set only
+    return 100 * most >= 75 * (both - most)
+
+
+def _words(bitmaps) -> np.ndarray:
+    return np.frombuffer(b"".join(bitmaps.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
 
+def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes whose bitmaps allow a link."""
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(may_link(b["n_a"].to_numpy(), b["n_b"].to_numpy(), _words(b["bitmap_a"]), _words(b["bitmap_b"])))).select([0, 1])
+    return _both(pairs, sets, "bitmap").select("a", "b", "bitmap_a", "bitmap_b", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
+
+
+def tiled(index: DataFrame, sets: DataFrame, tile_rows: int) -> DataFrame:
+    """Pairs of classes with a common token and different roots whose bitmaps allow a link.
+
+    A row stands in its own size band and, as the smaller set, in the next one. The rows of a token are
+    dealt into blocks; every two blocks are one tile, so a token's work is spread however many rows it has.
+    """
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    rows = (index.select("token", "cls", "n", "c", F.xxhash64("root").alias("root")).join(sets.select("cls", "bitmap"), "cls")
+            .withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .withColumn("lower", F.explode(F.array(F.lit(0), F.lit(1))))
+            .withColumn("tile", F.xxhash64("token", _band(F.col("n")) + F.col("lower"), F.least("block", "other"), F.greatest("block", "other")))
+            .select("tile", "cls", "n", "root", "bitmap", "block", "lower", (F.col("block") != F.col("other")).cast("int").alias("cross")))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("tile").combine_chunks()
+        tile, n, root, block, lower, cross = (table[c].to_numpy() for c in ("tile", "n", "root", "block", "lower", "cross"))
+        words = _words(table["bitmap"])
+        ends = np.searchsorted(tile, tile, "right")
+        left, right = [], []
+        for step in range(1, int((ends - np.arange(len(tile))).max())):
+            i = np.flatnonzero(ends - step > np.arange(len(tile)))
+            j = i + step
+            ok = (root[i] != root[j]) & (lower[i] + lower[j] < 2) & ((cross[i] == 0) | (block[i] != block[j]))
+            ok &= 4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])
+            i, j = i[ok], j[ok]
+            ok = may_link(n[i], n[j], words[i], words[j])
+            left.append(i[ok]), right.append(j[ok])
+        left, right = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+        return pa.table({"x": table["cls"].take(left), "y": table["cls"].take(right)})
+
+    found = rows.groupBy(F.pmod("tile", F.lit(tile_rows // CALL_ROWS + 1)).alias("call")).applyInArrow(run, "x binary, y binary")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def linked(maybe: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``maybe`` with intersection of at least 3/4 of the union."""
     def exact(batches):
         for b in batches:
             keep = []
@@ -147,9 +195,9 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * common >= 75 * (len(x) + len(y) - common))
             yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    maybe = written(_both(pairs, sets, "bitmap").select("a", "b", "bitmap_a", "bitmap_b", "n_a", "n_b").mapInArrow(bounded, "a binary, b binary"), "op4-maybe")
+    maybe = written(maybe, "op4-maybe")
     # only the sets of pairs that are left travel
-    ends = written(maybe.select(F.col("a").alias("cls")).union(maybe.select("b")).distinct(), "op4-ends")
+    ends = maybe.select(F.col("a").alias("cls")).union(maybe.select("b")).distinct()
     return _both(maybe, sets.join(ends, "cls", "left_semi"), "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a binary, b binary")
 
 
@@ -181,39 +229,32 @@ def _band(n):
 
 def class_components(sets: DataFrame) -> DataFrame:
     """(node, root) over linked classes."""
-    spark = sets.sparkSession
-    index = written(sets.select("cls", "n", F.explode("tokens").alias("token"), F.col("cls").alias("root")), "op4-index")
-    roots = spark.createDataFrame([], "node binary, root binary")
-
-    def unresolved(index, roots):
-        index = index.drop("root", "c", "leads").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        leads = [F.min(F.struct(F.xxhash64("cls", F.lit(j)).alias("h"), "cls", "n", "root")) for j in range(LEADERS)]
-        open_ = (index.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.array_distinct(F.transform(F.array(*leads), lambda x: x.dropFields("h"))).alias("leads"),
+    index = sets.select("cls", "n", F.explode("tokens").alias("token"), F.col("cls").alias("root"))
+    roots = None
+
+    for made in range(MAX_ROUNDS + 1):
+        if roots:
+            index = index.drop("root").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        # leaders by hash: the leader of one token is then mostly that of its neighbours too
+        open_ = (index.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n", "root")).alias("lead"),
                                             F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1"))
-        return written(index.join(open_.select("token", "c", "leads"), "token"), "op4-index")
-
-    for _ in range(MAX_ROUNDS):
-        index = unresolved(index, roots)
+        index = written(index.join(open_.select("token", "c", "lead"), "token"), "op4-index")
         # every row of a token carries its c: their halves of c - 1 make the c * (c - 1) / 2 pairs
-        left = index.agg(F.sum((F.col("c") - 1) / 2).alias("pairs"), F.count(F.lit(1)).alias("rows")).first()
+        left = index.agg(F.sum((F.col("c") - 1) / 2).alias("tests"), F.count(F.lit(1)).alias("rows"), F.sum(2 * F.ceil(F.col("c") / BLOCK)).alias("tile_rows")).first()
         if not left["rows"]:
-            return roots
-        if left["pairs"] <= PAIRS_PER_ROW * left["rows"]:
             break
+        if made == MAX_ROUNDS or made >= MIN_ROUNDS and left["tests"] <= TESTS_PER_ROW * left["rows"]:
+            return components(_more(roots, linked(tiled(index, sets, left["tile_rows"]), sets)))
         near = (F.least("n", "lead.n") * 4 >= F.greatest("n", "lead.n") * 3) & (F.col("root") != F.col("lead.root"))
-        pairs = index.withColumn("lead", F.explode("leads")).where(near).select(
-            F.least("lead.cls", "cls").alias("a"), F.greatest("lead.cls", "cls").alias("b")).distinct()
-        roots = components(written(roots.toDF("a", "b").union(linked(pairs, sets)), "op4-links"))
+        pairs = index.where(near).select(F.least("lead.cls", "cls").alias("a"), F.greatest("lead.cls", "cls").alias("b")).distinct()
+        roots = components(_more(roots, linked(bounded(pairs, sets), sets)))
         # the leaders have met all others of their token
-        index = index.where(~F.exists("leads", lambda x: x["cls"] == F.col("cls")))
-    else:
-        index = unresolved(index, roots)
-    # tiles: the smaller set of a pair stands in its size band and the next one, the larger in its own
-    large = index.select("token", _band(F.col("n")).alias("band"), F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    small = index.select("token", F.explode(F.array(_band(F.col("n")), _band(F.col("n")) + 1)).alias("band"), F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    pairs = small.join(large, ["token", "band"]).where(
-        "root_a != root_b AND 4 * n_a >= 3 * n_b AND (n_a < n_b OR (n_a = n_b AND a < b))").select("a", "b").distinct()
-    return components(written(roots.toDF("a", "b").union(linked(pairs, sets)), "op4-links"))
+        index = index.where(F.col("lead.cls") != F.col("cls")).drop("c", "lead")
+    return roots if roots else sets.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
+
+
+def _more(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    return written(roots.toDF("a", "b").union(links) if roots else links, "op4-links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

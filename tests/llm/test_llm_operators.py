@@ -52,8 +52,9 @@ def test_jaccard_leaders_and_tiles(spark, monkeypatch):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(f"e{i}" if j in (i * 7 % 200, i * 13 % 200) else w for j, w in enumerate(base)), None, None) for i in range(40)]
     rows += [(100 + i, " ".join(base[:120] + [f"x{i}_{j}" for j in range(60)]), None, None) for i in range(10)]
-    for pairs in (0, 10 ** 9):
-        monkeypatch.setattr(ngram_jaccard, "PAIRS_PER_ROW", pairs)
+    for least, most, block in ((8, 8, 1024), (0, 0, 1024), (0, 0, 4), (1, 1, 4)):  # leaders first, or tiles of one or many blocks only
+        for name, value in (("MIN_ROUNDS", least), ("MAX_ROUNDS", most), ("BLOCK", block)):
+            monkeypatch.setattr(ngram_jaccard, name, value)
         C.same(ngram_jaccard.near_duplicates(C.frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect(), C.components(rows))
 
 
