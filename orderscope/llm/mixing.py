@@ -1,9 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy source schedule.
 
 Slot i of the mix has the golden-ratio point frac((i + 1) / phi); the point, mapped through the
-cumulative target shares, names the slot's source. The r-th slot of a source takes the source's r-th
-block of ``block_words`` words, and starts over after the last. Blocks cut each source's documents, in
-an order shuffled by a hash, into equal runs of words. A source is read at most ``max_epochs`` times.
+cumulative shares of the sources' slots, names the slot's source. The r-th slot of a source takes the
+source's r-th block of ``MIN_BLOCK`` words, and starts over after the last. Blocks cut each source's
+documents, in an order shuffled by a hash, into equal runs of words; their length does not depend on
+the size of the table, the number of slots grows with it. A source is read at most ``max_epochs`` times.
+
+Every source, however small, takes its target rounded to whole words: its last slot ends at the target,
+slots after that are not filled, and the few slots that the points leave out come after all others.
 
 Null texts and texts without words have size 0 and are never taken; a null source is a source of its
 own, last in order; equal rows are rows of their own. An empty table, or one without words, gives its
@@ -24,8 +28,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_EPOCHS = 2
 MIN_BLOCK = 16
-#: The mix has about this many slots until blocks reach MIN_BLOCK words; more data gets longer blocks.
-SLOTS = 1 << 20
 PHI = (5 ** 0.5 - 1) / 2
 ROWS_PER_BUCKET = 50_000
 
@@ -52,28 +54,54 @@ def word_count(text: str = "text"):
     return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), BLANK, -1), "")).cast("long")
 
 
-def schedule(spark: SparkSession, wanted: np.ndarray, blocks: np.ndarray, block_words: int,
-             epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per slot: slot, place (index of its source), turn (its rank among the source's slots),
-    block, epoch. Slots past ``epochs`` rounds of a source find nothing left and are not filled."""
-    slots = int(round(wanted.sum() / block_words))
-    edges = np.cumsum(wanted) / max(wanted.sum(), 1e-300)
-    last = int(np.flatnonzero(wanted > 0)[-1]) if (wanted > 0).any() else 0
+def quotas(wanted: np.ndarray, sizes: list[int], block_words: int,
+           epochs: int = MAX_EPOCHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per source: its blocks, its slots, and the words that its last slot takes (0: the whole block)."""
+    size = np.array(sizes, np.int64)
+    words = np.minimum(np.round(wanted).astype(np.int64), epochs * size)
+    blocks = np.maximum(-(-size // block_words), 1)
+    whole, rest = np.divmod(words, np.maximum(size, 1))
+    return blocks, whole * blocks + -(-rest // block_words), rest % block_words
+
+
+def schedule(spark: SparkSession, slots: np.ndarray, blocks: np.ndarray) -> DataFrame:
+    """One row per filled slot: slot, place (index of its source), turn (its rank among the source's
+    slots), block, last (whether it is the source's last). Each place has ``slots[place]`` rows."""
+    total = int(slots.sum())
+    edges = np.cumsum(slots) / max(total, 1)
+    last = int(np.flatnonzero(slots)[-1]) if total else 0
+
+    def places(i):
+        # frac((i + 1) * phi) from the two halves of i, so that it stays exact for large i
+        hi, lo = (i + 1) // (1 << 20), (i + 1) % (1 << 20)
+        point = (np.mod(hi * np.mod(PHI * (1 << 20), 1.0), 1.0) + np.mod(lo * PHI, 1.0)) % 1.0
+        return np.minimum(np.searchsorted(edges, point, "right"), last).astype(np.int32)
 
     def name(batches):
         for b in batches:
             i = b.column(0).to_numpy()
-            # frac((i + 1) * phi) from the two halves of i, so that it stays exact for large i
-            hi, lo = (i + 1) // (1 << 20), (i + 1) % (1 << 20)
-            point = (np.mod(hi * np.mod(PHI * (1 << 20), 1.0), 1.0) + np.mod(lo * PHI, 1.0)) % 1.0
-            at = np.minimum(np.searchsorted(edges, point, "right"), last).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at), pa.array(i // ROWS_PER_BUCKET)], ["slot", "place", "bucket"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places(i)), pa.array(i // ROWS_PER_BUCKET)], ["slot", "place", "bucket"])
 
-    named = spark.range(slots).mapInArrow(name, "slot long, place int, bucket long")
-    count = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("place") + 1)
-    return (numbered(named, ["place"], "bucket", [F.col("slot")], "turn").drop("bucket")
-            .withColumn("block", F.pmod("turn", count)).withColumn("epoch", F.floor(F.col("turn") / count))
-            .where(F.col("epoch") < epochs))
+    def count(batches):
+        for b in batches:
+            place, n = np.unique(places(b.column(0).to_numpy()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(n)], ["place", "n"])
+
+    hit = np.zeros(len(slots), np.int64)
+    for r in spark.range(total).mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        hit[r["place"]] = r["n"]
+    short = np.maximum(slots - hit, 0)
+    begin = total + np.cumsum(short) - short
+    known = spark.createDataFrame(
+        [(i, int(slots[i]), int(blocks[i]), int(hit[i]), int(begin[i])) for i in range(len(slots)) if slots[i]],
+        "place int, __slots long, __blocks long, __hit long, __begin long")
+    named = numbered(spark.range(total).mapInArrow(name, "slot long, place int, bucket long"), ["place"], "bucket", [F.col("slot")], "turn")
+    # one row per source, made on the driver
+    filled = named.drop("bucket").join(F.broadcast(known), "place").where("turn < __slots")
+    late = (known.where("__hit < __slots").withColumn("turn", F.explode(F.expr("sequence(__hit, __slots - 1)")))
+            .withColumn("slot", F.expr("__begin + turn - __hit")))
+    columns = ["slot", "place", "turn", F.expr("turn % __blocks").alias("block"), F.expr("turn = __slots - 1").alias("last")]
+    return filled.select(*columns).unionByName(late.select(*columns))
 
 
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
@@ -87,13 +115,14 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, s
     per.sort(key=lambda r: (r[source] is None, r[source] or ""))
     sizes = [int(r["s"]) for r in per]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(per))], share)
-    block = max(MIN_BLOCK, sum(sizes) // SLOTS)
-    blocks = np.array([-(-s // block) or 1 for s in sizes])
+    block = MIN_BLOCK
+    blocks, slots, ends = quotas(wanted, sizes, block)
     buckets = sum(r["n"] for r in per) // ROWS_PER_BUCKET + 1
 
     places = T.StructType([T.StructField("__source", sized.schema[source].dataType), T.StructField("place", T.IntegerType()),
-                           T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    known = spark.createDataFrame([(r[source], i, sizes[i], float(wanted[i])) for i, r in enumerate(per)], places)
+                           T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()),
+                           T.StructField("__end", T.LongType())])
+    known = spark.createDataFrame([(r[source], i, sizes[i], float(wanted[i]), int(ends[i])) for i, r in enumerate(per)], places)
     rows = (sized.join(known, F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
             .withColumn("__bucket", F.floor((F.col("__h").cast("double") / 2.0 ** 64 + 0.5) * buckets).cast("long")))
     rows = numbered(rows, ["place"], "__bucket", [F.col("__h"), F.col(key)], "__from", value="size")
@@ -101,13 +130,16 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, s
     # blocks that a document touches, each with the words of the document in it
     touched = (rows.where("size > 0")
                .select("__row", "place", F.explode(F.sequence(F.expr(f"__from div {block}"), F.expr(f"(__from + size - 1) div {block}"))).alias("block"),
-                       "__from", "size")
-               .withColumn("words", F.least(F.col("__from") + F.col("size"), (F.col("block") + 1) * block)
-                           - F.greatest(F.col("__from"), F.col("block") * block)))
-    times = schedule(spark, wanted, blocks, block).groupBy("place", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = touched.join(times, ["place", "block"]).groupBy("__row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+                       "__end", F.greatest(F.lit(0), F.expr(f"__from - block * {block}")).alias("__a"),
+                       F.least(F.lit(block), F.expr(f"__from + size - block * {block}")).alias("__b")))
+    # the source's last slot stops after __end words of its block
+    cut = F.col("last") & (F.col("__end") > 0)
+    times = schedule(spark, slots, blocks).groupBy("place", "block").agg(F.count(F.lit(1)).alias("times"), F.max("last").alias("last"))
+    words = (F.expr("(__b - __a) * times")
+             - F.when(cut, F.expr("__b - greatest(__a, least(__b, __end))")).otherwise(0))
+    taken = touched.join(times, ["place", "block"]).groupBy("__row").agg(F.sum(words).alias("taken"))
     return (rows.join(taken, "__row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-            .drop("__row", "__from", "place"))
+            .drop("__row", "__from", "__end", "place"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

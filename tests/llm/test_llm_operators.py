@@ -191,6 +191,30 @@ def test_mixing(spark, docs):
     assert key(got) == key(again)
 
 
+@pytest.mark.parametrize("block", [16, 4096], ids=["fixed", "large"])
+def test_mixing_gives_small_sources_their_targets(spark, monkeypatch, block):
+    monkeypatch.setattr(mixing, "MIN_BLOCK", block)
+    sizes = {"a": [500] * 60, "b": [1, 2], "c": [700], "d": [40] * 3, "e": [900, 0, 800]}
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(n)), "en", s) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
+    got = mixing.mix(C.frame(spark, rows)).collect()
+    want = mixing.targets([sum(ns) for ns in sizes.values()], [5, 2, 1, 5, 2])
+    taken = Counter()
+    for r in got:
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[r.source] += r.taken
+    assert len(got) == len(rows) and {s: taken[s] for s in sizes} == {s: round(w) for s, w in zip(sizes, want)}
+
+
+def test_mixing_schedule_fills_every_slot_once(spark):
+    slots, blocks = np.array([9000, 3, 0, 1, 400]), np.array([5000, 2, 1, 1, 400])
+    rows = mixing.schedule(spark, slots, blocks).collect()
+    for p in range(5):
+        mine = [r for r in rows if r.place == p]
+        assert sorted(r.turn for r in mine) == list(range(slots[p])) and all(r.block == r.turn % blocks[p] for r in mine)
+        assert [r.turn for r in mine if r.last] == [n - 1 for n in slots[p:p + 1] if n]
+    assert len({r.slot for r in rows}) == len(rows) == slots.sum()
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix(C.frame(spark, [])).collect() == []
     assert [r.taken for r in mixing.mix(C.frame(spark, [(1, None, None, None)])).collect()] == [0]
