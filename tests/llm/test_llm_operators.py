@@ -244,6 +244,25 @@ def test_chat_rotation(spark):
     assert chat_rotation.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def test_chat_rotation_of_long_dialogues_keeps_context(spark):
+    role = lambda i: "system" if i in (0, 50, 61, 130) else "ann" if i % 2 else "bob"
+    rows = [(1, i, role(i), f"t{i}.") for i in range(300)] + [(None, i, "ann" if i % 2 else "bob", f"n{i}.") for i in (3, 5, 200)]
+    rows += [(2, None, "ann" if i % 2 else "bob", f"u{i:03d}.") for i in range(200)]
+    got = {(r.conv_id, r.example, r.perspective): r for r in chat_rotation.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()}
+    show = lambda i, p: ("<|start|>" + {"system": "system", p: "assistant"}.get(role(i), f"user name={role(i)}") + f"\nt{i}.<|end|>\n")
+    for p in ("ann", "bob"):
+        for e in range(5):
+            own = list(range(64 * e, min(64 * e + 64, 300)))
+            before = [i for i in (0, 50, 61, 130) if i < 64 * e - 8] + list(range(64 * e - 8, 64 * e)) if e else []
+            r = got[1, e, p]
+            assert r.rendered == "".join(show(i, p) for i in before + own)
+            assert [r.rendered[m.start:m.end] for m in r.mask] == [f"t{i}.<|end|>\n" for i in own if role(i) == p]
+            assert (r.n_turns, r.n_own_turns) == (len(own), sum(role(i) == p for i in own))
+    r = got[None, 3, "ann"]
+    assert r.rendered == "<|start|>assistant\nn3.<|end|>\n<|start|>assistant\nn5.<|end|>\n<|start|>user name=bob\nn200.<|end|>\n" and not r.mask
+    assert got[2, -1, "bob"].n_turns == 200 and got[2, -1, "bob"].n_own_turns == 100 and len(got) == 10 + 4 + 2
+
+
 def test_classifier_learns_and_is_held_out(spark, sf):
     good = C.documents(seed=2, n=300)[:300]
     rows = [(i, t if i % 3 else " ".join(w + "###" for w in C.words(t)), g, s) for i, t, g, s in good] + [(None, None, None, None), (999, "", None, None)]
