@@ -122,12 +122,12 @@ SELECT record_id, 'P' AS o_orderstatus, CAST(amount * 1.20 AS DECIMAL(18,2)) AS
     def cache_from_labels(s, sf):
         """The previous run embedded the labelled documents: their keys form the cache."""
         lab = T.load(s, sf, "labels", ["doc_id"])
-        prev = EN.keyed_texts(docs_keyed(s, sf).join(lab, "doc_id", "left_semi"), "text_normalized")
-        return EN.hashed_bow(prev.select("cache_key", "_clipped").dropDuplicates(["cache_key"]), C.EMBED_OUTPUT_DIM) \
+        prev = EN.keyed_texts(docs_keyed(s, sf).join(lab, "doc_id", "left_semi"), "text_normalized", clip=True)
+        return EN.hashed_bow(prev.select("cache_key", "_text").dropDuplicates(["cache_key"]), C.EMBED_OUTPUT_DIM) \
                  .select("cache_key", "embedding")
 
     def embed_cache_split(s, sf):
-        keyed = EN.keyed_texts(docs_keyed(s, sf), "text_normalized")
+        keyed = EN.keyed_texts(docs_keyed(s, sf), "text_normalized", clip=True)
         hits, misses = EN.cache_split(keyed, cache_from_labels(s, sf))
         return keyed.agg(F.count(F.lit(1)).alias("n_texts"), F.count_distinct("cache_key").alias("n_keys")) \
                     .select("n_texts", "n_keys", hits.agg(F.count(F.lit(1))).scalar().alias("n_hits"),
@@ -143,7 +143,7 @@ SELECT (SELECT COUNT(*) FROM k) AS n_texts, (SELECT COUNT(*) FROM d) AS n_keys,
        (SELECT COUNT(*) FROM d WHERE cache_key NOT IN (SELECT cache_key FROM c)) AS n_misses""")
 
     def embed_job(s, sf):
-        out, _, _ = EN.embed_job(docs_keyed(s, sf), "text_normalized", cache_from_labels(s, sf))
+        out, _, _ = EN.embed_job(docs_keyed(s, sf), "text_normalized", cache_from_labels(s, sf), clip=True)  # the SQL keys the prefix
         return out.select("doc_id", "cache_key", F.size("embedding").cast("bigint").alias("dim"),
                           (F.round(V.norm("embedding"), 6) == 1.0).alias("is_unit"))
     register("embed_job", embed_job, f"""

@@ -45,6 +45,26 @@ def test_default_model_is_deterministic(spark):
     assert e[0] == e[1] and len(e[0]) == 64
 
 
+def test_long_texts_are_embedded_whole(spark):
+    """Texts that agree in the first 32,768 characters keep keys and vectors of their own."""
+    def model(texts):
+        assert max(map(len, texts)) <= 32_768 and len(texts) <= 128
+        return np.array([[t.count("a"), t.count("b"), t.count("c")] for t in texts], dtype=np.float32)
+
+    same = "a " * 16_384
+    rows = [(1, same + "b" * 16_384), (2, same + "c" * 40_000), (3, same), (4, "ab"), (5, None)] + [(10 + i, "b" * (i + 1) + "a" * 40_000) for i in range(130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out, new, misses = EN.embed_job(docs, "text", EN.empty_cache(spark), dim=3, model=model)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len({got[i]["cache_key"] for i in (1, 2, 3, 4, 5)}) == 5 and new.count() == len(rows)
+    for i, mean in ((1, [2, 1, 0]), (2, [32768, 0, 40000]), (3, [1, 0, 0]), (4, [1, 1, 0])):
+        assert np.allclose(got[i]["embedding"], np.array(mean) / np.linalg.norm(mean), atol=1e-5)
+    assert [got[i]["over_limit"] for i in (1, 2, 3, 4, 5)] == [True, True, False, False, False] and got[3]["near_limit"]
+    bow, _, _ = EN.embed_job(docs.where("doc_id < 3"), "text", EN.empty_cache(spark), dim=64)
+    e = [r["embedding"] for r in bow.collect()]
+    assert len(e) == 2 and e[0] != e[1]
+
+
 def test_summary_job_reuses_cache(spark):
     cur = spark.createDataFrame([(1, "k1", "first | second"), (2, "k2", "only"), (3, "k3", "x | y")],
                                 "record_id long, summary_key string, text_raw string")
