@@ -7,8 +7,11 @@ repeated rows and an empty table pass as the operators' docstrings say.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderscope.llm import decontaminate, mixing, ngram_jaccard, quality_classifier, sharding
 from orderscope.llm.common import table, written
@@ -31,16 +34,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(stats, forest).where("predicted = 1").select(*COLUMNS)
 
 
+def _row(docs: DataFrame) -> Column:
+    """Id and text's digest as a string in the order of ids (whole numbers by value), nulls last."""
+    name = F.col("doc_id").cast("string")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        name = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(Decimal(2 ** 63))).cast("string"), 20, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("0"), name), F.lit("1")), F.lit("\x01"), F.md5(F.coalesce("text", F.lit(""))))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose id names the component (texts without words all
-    stay; of rows with the same id one with the component's id stays)."""
-    found = ngram_jaccard.near_duplicates(docs)
-    keep = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id"))
-            .agg(F.count(F.lit(1)).alias("__n")))
-    rows = docs.select(*COLUMNS).join(keep, F.col("doc_id").eqNullSafe(F.col("__id")))
-    # only ids that occur more than once need their texts compared
-    once, again = rows.where("__n = 1").select(*COLUMNS), rows.where("__n > 1").select(*COLUMNS)
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    """One row of each group stays: the least by id (nulls last), then by the text's digest. Texts without
+    words all stay. Rows are told apart by id and digest, so repeated and null ids are rows of their own."""
+    found = ngram_jaccard.near_duplicates(docs.select(_row(docs).alias("row"), "text"), key="row")
+    keep = (found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__row"))
+            .agg(F.count(F.lit(1)).alias("__n"), F.max("n_shingles").alias("__words")))
+    rows = docs.select(*COLUMNS, _row(docs).alias("__row")).join(keep, "__row")
+    # only rows of equal id and text are left to compare
+    copies = (F.col("__n") > 1) & (F.col("__words") > 0)
+    once, again = rows.where(~copies).select(*COLUMNS), rows.where(copies).dropDuplicates(["__row"]).select(*COLUMNS)
+    return once.unionByName(again)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -297,6 +297,21 @@ def test_classifier_without_labels(spark, sf):
     assert {r.score for r in quality_classifier.op10_quality_classifier(spark, folder).collect()} == {0.5}
 
 
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    """Near copies with null and repeated ids: the least (id, digest) of each component stays, nulls last."""
+    import hashlib
+    import corpus_pipeline as P
+    base = [" ".join(f"{g}{i}" for i in range(200)) for g in "abcd"]
+    near = lambda g, *at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(base[g].split()))
+    rows = [(None, near(0, 5)), (None, near(0, 90)), (None, base[0]), (None, base[0]),          # null ids only
+            (7, base[1]), (7, near(2, 3)), (3, near(2, 70)), (7, near(1, 8)), (None, near(1)),   # 7 is in two groups
+            (9, base[3]), (9, base[3]), (11, near(3, 50)), (None, None), (None, None), (8, " ")]
+    got = P.near_duplicates(spark, spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3), "").collect()
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest())
+    want = [min(g, key=order) for g in (rows[:4], [rows[4], rows[7], rows[8]], rows[5:7], rows[9:12])] + rows[12:]
+    C.same([(r.doc_id, r.text) for r in got], want)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as P
     good = C.documents(seed=4, n=120)[:120]
