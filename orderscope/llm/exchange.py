@@ -45,6 +45,15 @@ def split_parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
+def parted(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Order that groups keys by part (stable), the parts that have keys, and for each its indices in order."""
+    part = (keys % U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    return order, part[first], np.split(order, first[1:]) if len(part) else []
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
 

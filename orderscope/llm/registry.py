@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, chat_rotation, decontaminate, lm_scoring, mixing, ngram_jaccard, quality_classifier, quality_rules, sharding, substring_dedup, token_files
+from . import bpe_tree, chat_rotation, collocations, decontaminate, lm_scoring, mixing, ngram_jaccard, quality_classifier, quality_rules, sharding, substring_dedup, token_files
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_sharding": sharding.op9_sharding,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_collocations": collocations.op11_collocations,
         "op13_bpe_tree": bpe_tree.op13_bpe_tree,
     }
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_ngram_jaccard": ngram_jaccard.SQL,
         "op5_decontamination": decontaminate.SQL,
         "op6_chat_rotation": chat_rotation.SQL,
+        "op11_collocations": collocations.SQL,
     }

@@ -95,13 +95,13 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0]: bounds[-1]], bounds - bounds[0]
 
 
-def chunks(column, lower: bool = False, limit: int = CHUNK_BYTES):
+def chunks(column, lower: bool = False, limit: int = CHUNK_BYTES, blanks=BLANKS):
     """Runs of whole documents of about ``limit`` bytes: (first row, end row, Words)."""
     data, bounds = text_buffer(column)
     row, n = 0, len(bounds) - 1
     while row < n:
         end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + limit, "right")) - 1)
-        yield row, end, Words(data[bounds[row]: bounds[end]], bounds[row: end + 1] - bounds[row], lower)
+        yield row, end, Words(data[bounds[row]: bounds[end]], bounds[row: end + 1] - bounds[row], lower, blanks)
         row = end
 
 
