@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, chat_rotation, collocations, decontaminate, lm_scoring, mixing, ngram_jaccard, quality_classifier, quality_rules, sharding, substring_dedup, token_files
+from . import bpe_tree, chat_rotation, collocations, decontaminate, lm_scoring, mixing, ngram_jaccard, quality_classifier, quality_rules, sharding, substring_dedup, token_files, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_sharding": sharding.op9_sharding,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
         "op11_collocations": collocations.op11_collocations,
+        "op12_whitening": whitening.op12_whitening,
         "op13_bpe_tree": bpe_tree.op13_bpe_tree,
     }
 
