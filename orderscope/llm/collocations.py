@@ -265,9 +265,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS p, piece FROM (
   SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
-w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
-g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (
-  SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS t(m) WHERE len(ws) >= m)),
+w AS (SELECT lang, p, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT lang, p, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces)),
+t AS (SELECT lang, w, lead(w, 1) OVER piece AS w2, lead(w, 2) OVER piece AS w3 FROM w WINDOW piece AS (PARTITION BY p ORDER BY i)),
+g AS (SELECT lang, 1 AS m, w AS phrase FROM t UNION ALL SELECT lang, 2, w || ' ' || w2 FROM t WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM t WHERE w3 IS NOT NULL),
 f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
 total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
 c AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2 AND f >= 10),
