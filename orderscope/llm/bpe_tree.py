@@ -16,6 +16,7 @@ shared out, only its ids come together in one row. An empty table gives an empty
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -28,7 +29,11 @@ from .common import table, written
 #: Characters: texts above LONG are cut into pieces of at most LEAF.
 LONG, LEAF = 1 << 15, 1 << 14
 #: Bytes re-encoded on either side of a join at first, and bytes of texts that a library call gets at most.
-REACH, CALL = 256, 1 << 19
+REACH, CALL = 256, 1 << 21
+#: Different words whose ids a task keeps.
+KNOWN = 400_000
+#: First bytes of characters that are not white space (some characters behind C2, E1, E2 and E3 are).
+_VISIBLE = np.array([b > 0x20 and b not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 
 
 def byte_symbols() -> dict[str, int]:
@@ -57,20 +62,54 @@ class Codec:
         self.length = np.array([len(b) for b in body], np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.pool = np.frombuffer(b"".join(body), np.uint8)
+        kind, shown = json.loads(model), [t.content for t in added.values()]
+        cutter = kind.get("pre_tokenizer") or {}
+        self.words_apart = (kind.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", False)
+                            and not cutter.get("add_prefix_space", True) and not any(" " in c for c in shown))
+        self.known: dict[bytes, np.ndarray] = {}
         #: A special token cut by an edge, and the word and blanks before it, end within so many bytes of it.
         self.margin = 64 + max([len(t.content.encode()) for t in added.values()], default=0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Where a blank stands before something visible a new word begins whatever is around
+        it, so texts fall into such words, and each different word is encoded once."""
         out, lo = [], 0
         while lo < len(texts):
             hi, size = lo, 0
             while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= CALL):
                 size += len(texts[hi])
                 hi += 1
-            out += [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts[lo:hi], add_special_tokens=False)]
+            out += self._encoded([t.encode() for t in texts[lo:hi]])
             lo = hi
         return out
 
+    def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        bounds = np.cumsum([0, *map(len, texts)])
+        raw = b"".join(texts)
+        data = np.frombuffer(raw, np.uint8)
+        starts = np.unique(bounds[:-1])
+        if self.words_apart and len(data):
+            starts = np.union1d(starts, np.flatnonzero((data[:-1] == 0x20) & _VISIBLE[data[1:]]))
+        starts = starts[starts < len(data)]
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[starts, len(data)].astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+        own = words.dictionary.to_pylist()
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        new = [w for w in own if w not in self.known]
+        for lo in range(0, len(new), 4096):
+            part = new[lo: lo + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, np.int32)
+        bodies = [self.known[w] for w in own]
+        pool = np.concatenate([np.zeros(0, np.int32), *bodies])
+        size = np.array([len(x) for x in bodies], np.int64)
+        at = words.indices.to_numpy()
+        n = size[at]
+        total = np.r_[0, np.cumsum(n)]
+        first = (np.cumsum(size) - size)[at]
+        flat = pool[np.repeat(first - total[:-1], n) + np.arange(total[-1])]
+        return np.split(flat, total[np.searchsorted(starts, bounds[1:-1])])
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the ids in a row, special tokens included."""
         n = self.length[ids]

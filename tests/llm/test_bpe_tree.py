@@ -33,7 +33,7 @@ def digests(rows):
 
 def odd_texts(seed, n):
     r = random.Random(seed)
-    parts = ["<|endoftext|>", "<|endof", "text|>", "the", "  ", "'re", "'", "re", " don't", "\n\n", " naïve", "aaaaaaaa", "!!!!!!!", " ", "\t", "漢字", "😀", "́"]
+    parts = ["<|endoftext|>", "<|endof", "text|>", "the", "  ", "'re", "'", "re", " don't", "\n\n", " naïve", "aaaaaaaa", "!!!!!!!", " ", "\t", "\u00a0", " \u2003", "\u3000 ", "\x1c", " \x85", "漢字", "😀", "́"]
     letters = ["ab", "abcdefgh", "a ", "a ", " \n\t", " a'srelv", "é漢😀a ", "0123 ", "!?'s ", "xyz'll 've  "]
     for _ in range(n):
         m = r.randint(1, 1500)
