@@ -2,9 +2,10 @@
 
 Documents are dealt into chunks by a hash; a chunk hashes its words and asks about many keys at once.
 Keys are dealt into parts; the questions of a chunk to a part travel as one packed row (numpy arrays
-in a binary column) instead of one row per key, and so do the answers. A key that is frequent in a
-chunk is asked once or is 4 bytes, so no hot key makes a large group. Chunks and parts are sized from
-the bytes of the texts, so the work of one group stays the same as the corpus grows.
+in a binary column) instead of one row per key, and so do the answers. Where it asks only
+parts that it has keys for (``parted``), messages are never more than keys, however many chunks and parts there are. A key that is
+frequent in a chunk is asked once or is 4 bytes, so no hot key makes a large group. Chunks and parts are sized
+from the bytes of the texts, so the work of one group stays the same as the corpus grows.
 
 ``docs.groupBy(chunk)`` is the same exchange for asking and for using the answers, and Spark reuses it.
 """
@@ -26,11 +27,13 @@ ROWS = "part int, chunk int, body binary"
 
 def dealt(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_text: int = CHUNK_TEXT,
           part_text: int = PART_TEXT) -> tuple[DataFrame, int]:
-    """(key, text, chunk) rows and the number of parts. Equal rows share a chunk."""
+    """(key, text, chunk) rows and the number of parts. Equal rows share a chunk, but for empty texts, which ask
+    nothing and may be many: they are spread by where they are read."""
     size = total_bytes(docs, text)
     k = size // chunk_text + 1
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(k)).cast("int")), size // part_text + 1
+    spread = F.when(F.col("text") == "", F.spark_partition_id()).otherwise(0)
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", spread), F.lit(k)).cast("int")), size // part_text + 1
 
 
 def by_doc(table: pa.Table) -> pa.Table:
@@ -39,10 +42,11 @@ def by_doc(table: pa.Table) -> pa.Table:
 
 
 def split_parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order that groups keys by part (stable), and the bounds of each part in it."""
-    part = (keys % U(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+    """Order that groups keys by part (stable), and the bounds of each part in it, parts without keys included."""
+    order, to, which = parted(keys, parts)
+    size = np.zeros(parts, np.int64)
+    size[to] = [len(i) for i in which]
+    return order, np.r_[0, np.cumsum(size)]
 
 
 def parted(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -54,6 +58,15 @@ def parted(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, list[n
     return order, part[first], np.split(order, first[1:]) if len(part) else []
 
 
+def bits_of(answers: dict, keys: np.ndarray, parts: int) -> np.ndarray:
+    """The answers of one bit to each key, in the order of ``keys``."""
+    out = np.zeros(len(keys), bool)
+    _, to, which = parted(keys, parts)
+    for part, i in zip(to.tolist(), which):
+        out[i] = np.unpackbits(np.frombuffer(answers[part], np.uint8), count=len(i)).astype(bool)
+    return out
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
 

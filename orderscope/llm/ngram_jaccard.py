@@ -4,17 +4,18 @@
    only make a shingle look more common). Two sets as similar as this share 3/4 of either, so each
    has, among its rarest n - ceil(3n/4) + 1 shingles, one that the other has too: sets whose rarest
    ones are all their own drop out, the others keep those as tokens.
-2. Equal sets are one class. Classes that share a token meet first against a leader of the token, then, as
-   far as they are still in different components, each other in tiles of a token and a size band (the
-   larger is at most 4/3 of the smaller). Hashed bitmaps of the sets bound the overlap from above by
-   the bits they differ in, inside the tile, so that only pairs that pass become rows; those are
-   intersected exactly as sorted arrays.
+2. Equal sets are one class, known by a number. Classes that share a token meet first against a leader of the
+   token, then, as far as they are still in different components, each other in tiles of a token and a size
+   band (the larger is at most 4/3 of the smaller). Hashed bitmaps of the sets bound the overlap from above by
+   the bits they differ in, inside the tile. A pair belongs to the least token that both sets have, so it
+   becomes a row once, however many tokens the two share; those rows are intersected exactly as sorted arrays.
 3. Components grow from the links by star contraction, all in DataFrames.
 
 Leaders join large families of near copies without testing all pairs; pairs inside one component need
-no test; pairs left are tested in tiles, 16 machine words each. Texts without words, and null texts, have no set and link with nothing. Fewer words than a
-shingle are one shingle. Repeated rows and null ids are members like others: a component's id is its
-smallest id that is not null.
+no test; pairs left are tested in tiles, 16 machine words each. Texts without words, and null texts, have no
+set and link with nothing. Fewer words than a shingle are one shingle. Long texts have large sets and are
+treated alike. Repeated rows and null ids are members like others: a component's id is its smallest id that is not
+null. Other columns are not read and may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .exchange import answered, asked, by_doc, dealt, rows, served, split_parts
+from .exchange import answered, asked, by_doc, dealt, parted, rows, served
 from .words import U, chunks, inside_docs, join_hash, mix, ngram_hashes
 
 N = 5
@@ -36,6 +37,8 @@ TESTS_PER_ROW = 1024
 #: Rows of a token that make a block; a tile is a pair of blocks. Rows of tiles handled in one call, about.
 BLOCK = 1024
 CALL_ROWS = 8192
+#: Bits of all rows of a tile that are compared at once (8 MB).
+BITS_AT_ONCE = 1 << 26
 
 
 def shingle_sets(texts, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -80,14 +83,14 @@ def _bitmap(s: np.ndarray) -> bytes:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls of every document; tokens, bitmap and shingles of sets that may have a partner."""
+    """doc_id, n_shingles, digest of every document; tokens, bitmap and shingles of sets that may have a partner."""
     docs, parts = dealt(docs)
 
     def ask(table: pa.Table) -> pa.Table:
         flat, _ = shingle_sets(by_doc(table)["text"])
-        order, at = split_parts(flat, parts)
-        rest = ((flat // U(parts)) & U(0xFFFFFFFF)).astype(np.uint32)[order]
-        return rows(np.arange(parts), table["chunk"][0].as_py(), [rest[at[i]: at[i + 1]].tobytes() for i in range(parts)])
+        rest = ((flat // U(parts)) & U(0xFFFFFFFF)).astype(np.uint32)
+        _, to, which = parted(flat, parts)
+        return rows(to, table["chunk"][0].as_py(), [rest[i].tobytes() for i in which])
 
     def serve(bodies: list) -> list:
         sent = [np.frombuffer(b, np.uint32) for b in bodies]
@@ -99,10 +102,10 @@ def described(docs: DataFrame) -> DataFrame:
     def use(table: pa.Table, answers: dict) -> pa.Table:
         table = by_doc(table)
         flat, bounds = shingle_sets(table["text"])
-        order, at = split_parts(flat, parts)
         level = np.zeros(len(flat), np.uint8)
-        for i in range(parts):
-            level[order[at[i]: at[i + 1]]] = np.frombuffer(answers[i], np.uint8)
+        _, to, which = parted(flat, parts)
+        for part, i in zip(to.tolist(), which):
+            level[i] = np.frombuffer(answers[part], np.uint8)
         cls, n = _class_of(flat, bounds), np.diff(bounds)
         prefix = n - -(-3 * n // 4) + 1
         total = np.r_[0, np.cumsum(level == 0)]
@@ -116,12 +119,12 @@ def described(docs: DataFrame) -> DataFrame:
             seen.add(cls[d])
             rarest = np.lexsort((flat[s], level[s]))[alone[d]: prefix[d]]
             tokens.append(flat[s][rarest].view(np.int64)), bitmaps.append(_bitmap(flat[s])), sets.append(flat[s].tobytes())
-        return pa.table({"doc_id": table["doc_id"], "n_shingles": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.binary()),
+        return pa.table({"doc_id": table["doc_id"], "n_shingles": pa.array(n, pa.int64()), "digest": pa.array(cls, pa.binary()),
                          "tokens": pa.array(tokens, pa.list_(pa.int64())), "bitmap": pa.array(bitmaps, pa.binary()), "shingles": pa.array(sets, pa.binary())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return answered(docs, served(asked(docs, ask), serve), use,
-                    f"doc_id {kind}, n_shingles long, cls binary, tokens array<long>, bitmap binary, shingles binary")
+                    f"doc_id {kind}, n_shingles long, digest binary, tokens array<long>, bitmap binary, shingles binary")
 
 
 def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -146,26 +149,49 @@ def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             yield b.filter(pa.array(may_link(b["n_a"].to_numpy(), b["n_b"].to_numpy(), _words(b["bitmap_a"]), _words(b["bitmap_b"])))).select([0, 1])
-    return _both(pairs, sets, "bitmap").select("a", "b", "bitmap_a", "bitmap_b", "n_a", "n_b").mapInArrow(run, "a binary, b binary")
+    return _both(pairs, sets, "bitmap").select("a", "b", "bitmap_a", "bitmap_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+
+
+def have_common(lists: pa.ListArray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs of rows (i, j): whether their lists of longs share an entry. Lists become rows of bits."""
+    own, at = np.unique(np.r_[i, j], return_inverse=True)
+    mine = lists.take(pa.array(own))
+    size = mine.value_lengths().to_numpy()
+    _, bit, times = np.unique(mine.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row, bit = np.repeat(np.arange(len(own)), size)[times[bit] > 1], bit[times[bit] > 1]  # others are in one list only
+    _, bit = np.unique(bit, return_inverse=True)
+    common, width = np.zeros(len(i), bool), max(64, BITS_AT_ONCE // max(1, len(own)))
+    for lo in range(0, int(bit.max(initial=-1)) + 1, width):
+        here = (bit >= lo) & (bit < lo + width)
+        bits = np.zeros((len(own), (width + 63) // 64), np.uint64)
+        np.bitwise_or.at(bits, (row[here], (bit[here] - lo) // 64), U(1) << ((bit[here] - lo) % 64).astype(np.uint64))
+        bits = bits[:, bits.any(0)]
+        for k in range(0, len(i), 1 << 15):
+            part = slice(k, k + (1 << 15))
+            common[part] |= (bits[at[: len(i)][part]] & bits[at[len(i):][part]]).any(1)
+    return common
 
 
 def tiled(index: DataFrame, sets: DataFrame, tile_rows: int) -> DataFrame:
-    """Pairs of classes with a common token and different roots whose bitmaps allow a link.
+    """Pairs of classes with a common token and different roots whose bitmaps allow a link, each once.
 
     A row stands in its own size band and, as the smaller set, in the next one. The rows of a token are
     dealt into blocks; every two blocks are one tile, so a token's work is spread however many rows it has.
+    A row carries its lesser tokens: two rows that share one of them meet there as well, and belong there.
     """
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    rows = (index.select("token", "cls", "n", "c", F.xxhash64("root").alias("root")).join(sets.select("cls", "bitmap"), "cls")
+    lists = index.groupBy("cls").agg(F.sort_array(F.collect_list("token")).alias("open"))  # at most a quarter of a set
+    rows = (index.select("token", "cls", "n", "c", "root").join(lists, "cls").join(sets.select("cls", "bitmap"), "cls")
+            .withColumn("lesser", F.slice("open", 1, F.array_position("open", F.col("token")).cast("int") - 1))
             .withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             .withColumn("lower", F.explode(F.array(F.lit(0), F.lit(1))))
             .withColumn("tile", F.xxhash64("token", _band(F.col("n")) + F.col("lower"), F.least("block", "other"), F.greatest("block", "other")))
-            .select("tile", "cls", "n", "root", "bitmap", "block", "lower", (F.col("block") != F.col("other")).cast("int").alias("cross")))
+            .select("tile", "cls", "n", "root", "bitmap", "block", "lower", (F.col("block") != F.col("other")).cast("int").alias("cross"), "lesser"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("tile").combine_chunks()
-        tile, n, root, block, lower, cross = (table[c].to_numpy() for c in ("tile", "n", "root", "block", "lower", "cross"))
+        tile, cls, n, root, block, lower, cross = (table[c].to_numpy() for c in ("tile", "cls", "n", "root", "block", "lower", "cross"))
         words = _words(table["bitmap"])
         ends = np.searchsorted(tile, tile, "right")
         left, right = [], []
@@ -178,10 +204,17 @@ def tiled(index: DataFrame, sets: DataFrame, tile_rows: int) -> DataFrame:
             ok = may_link(n[i], n[j], words[i], words[j])
             left.append(i[ok]), right.append(j[ok])
         left, right = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
-        return pa.table({"x": table["cls"].take(left), "y": table["cls"].take(right)})
+        order = np.argsort(left, kind="stable")
+        left, right = left[order], right[order]
+        lesser = table["lesser"].combine_chunks()
+        mine = np.ones(len(left), bool)
+        first = np.flatnonzero(np.r_[True, ends[left][1:] != ends[left][:-1]]) if len(left) else []
+        for lo, hi in zip(first, [*first[1:], len(left)]):  # tile by tile
+            mine[lo:hi] = ~have_common(lesser, left[lo:hi], right[lo:hi])
+        left, right = left[mine], right[mine]
+        return pa.table({"a": np.minimum(cls[left], cls[right]), "b": np.maximum(cls[left], cls[right])})
 
-    found = rows.groupBy(F.pmod("tile", F.lit(tile_rows // CALL_ROWS + 1)).alias("call")).applyInArrow(run, "x binary, y binary")
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return rows.groupBy(F.pmod("tile", F.lit(tile_rows // CALL_ROWS + 1)).alias("call")).applyInArrow(run, "a long, b long")
 
 
 def linked(maybe: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,7 +231,7 @@ def linked(maybe: DataFrame, sets: DataFrame) -> DataFrame:
     maybe = written(maybe, "op4-maybe")
     # only the sets of pairs that are left travel
     ends = maybe.select(F.col("a").alias("cls")).union(maybe.select("b")).distinct()
-    return _both(maybe, sets.join(ends, "cls", "left_semi"), "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a binary, b binary")
+    return _both(maybe, sets.join(ends, "cls", "left_semi"), "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a long, b long")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -235,21 +268,21 @@ def class_components(sets: DataFrame) -> DataFrame:
     for made in range(MAX_ROUNDS + 1):
         if roots:
             index = index.drop("root").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        # leaders by hash: the leader of one token is then mostly that of its neighbours too
-        open_ = (index.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n", "root")).alias("lead"),
-                                            F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1"))
-        index = written(index.join(open_.select("token", "c", "lead"), "token"), "op4-index")
+        # leaders by number: the leader of one token is then mostly that of its neighbours too
+        open_ = (index.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("cls").alias("lead"), F.min_by("n", "cls").alias("lead_n"),
+                                            F.min_by("root", "cls").alias("lead_root"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1"))
+        index = written(index.join(open_.drop("r0", "r1"), "token"), "op4-index")
         # every row of a token carries its c: their halves of c - 1 make the c * (c - 1) / 2 pairs
         left = index.agg(F.sum((F.col("c") - 1) / 2).alias("tests"), F.count(F.lit(1)).alias("rows"), F.sum(2 * F.ceil(F.col("c") / BLOCK)).alias("tile_rows")).first()
         if not left["rows"]:
             break
         if made == MAX_ROUNDS or made >= MIN_ROUNDS and left["tests"] <= TESTS_PER_ROW * left["rows"]:
             return components(_more(roots, linked(tiled(index, sets, left["tile_rows"]), sets)))
-        near = (F.least("n", "lead.n") * 4 >= F.greatest("n", "lead.n") * 3) & (F.col("root") != F.col("lead.root"))
-        pairs = index.where(near).select(F.least("lead.cls", "cls").alias("a"), F.greatest("lead.cls", "cls").alias("b")).distinct()
+        near = (F.least("n", "lead_n") * 4 >= F.greatest("n", "lead_n") * 3) & (F.col("root") != F.col("lead_root"))
+        pairs = index.where(near).select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b")).distinct()
         roots = components(_more(roots, linked(bounded(pairs, sets), sets)))
         # the leaders have met all others of their token
-        index = index.where(F.col("lead.cls") != F.col("cls")).drop("c", "lead")
+        index = index.where(F.col("lead") != F.col("cls")).drop("c", "lead", "lead_n", "lead_root")
     return roots if roots else sets.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
 
 
@@ -260,14 +293,18 @@ def _more(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     every = written(described(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))), "op4-docs")
-    sets = written(every.where("shingles IS NOT NULL").select("cls", F.col("n_shingles").alias("n"), "tokens", "bitmap", "shingles").dropDuplicates(["cls"]), "op4-sets")
-    roots = class_components(sets)
-    classes = (every.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"))
-               .join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-    names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(names, "root").select("cls", "component_id")
-    return (every.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    # written with their numbers, so that these stay the same whenever they are read
+    sets = written(every.where("shingles IS NOT NULL").select("digest", F.col("n_shingles").alias("n"), "tokens", "bitmap", "shingles")
+                   .dropDuplicates(["digest"]).withColumn("cls", F.monotonically_increasing_id()), "op4-sets")
+    roots = class_components(sets.drop("digest"))
+    least = every.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"))
+    numbers = sets.select("digest", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    classes = least.join(numbers.select("digest", "root"), "digest", "left")
+    names = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("name"))
+    named = classes.join(names, "root", "left").select("digest", F.coalesce("name", "least").alias("component_id"))
+    with_words = every.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest").join(named, "digest")
+    return (with_words.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+            .unionByName(every.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,11 @@ the same in every copy of it. The first such symbol of the highest level is the
 
 Chunks ask which anchors occur twice anywhere (reveal), then, for the windows of those anchors only,
 which window hashes start earlier (verify), and drop the words such windows cover. Windows are judged
-on the input. Equal ids have a fixed order (position, then chunk); null ids come last. Null and empty
-texts have no words and the hash of the empty string.
+on the input. A window is known by 96 bits: two hashes of different words' hashes. Rows of equal ids stand
+in the order of their texts' digests; null ids, equal to each other, come last. Null and empty texts have no
+words and the hash of the empty string; texts of fewer than 20 words lose nothing, long texts are cut as they
+are. Ids are whole numbers (others raise an error). Other columns are not read and may have any names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .exchange import answered, asked, by_doc, dealt, packed, rows, served, split_parts, unpacked
+from .exchange import answered, asked, bits_of, dealt, packed, parted, rows, served, unpacked
 from .words import U, chunks, inside_docs, join_hash, mix, ngram_hashes
 
 WINDOW = 20
 ROUNDS = 6
 LAST_ID = np.iinfo(np.int64).max
+#: A chunk's question to a part: per document its id, digest and number of windows, per window its place and hashes.
+QUESTION = (np.int64, np.uint64, np.uint32, np.uint32, np.uint64, np.uint32)
 
 
 def runs_and_pairs(hashes: np.ndarray, offsets: np.ndarray, rounds: int = ROUNDS):
@@ -88,31 +93,29 @@ class Chunk:
     """Words, windows and anchors of the documents of a chunk, in ascending order of id."""
 
     def __init__(self, table: pa.Table):
-        self.table = by_doc(table)
+        texts = table["text"].to_pylist()
+        digest = np.array([int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") for t in texts], np.uint64)
+        ids = table["doc_id"].cast(pa.int64())
+        order = np.lexsort((digest, ids.fill_null(LAST_ID).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)))
+        self.table, self.digest = table.take(pa.array(order)).combine_chunks(), digest[order]
         self.texts = [w for _, _, w in chunks(self.table["text"])]
-        self.hashes = np.concatenate([w.hashes() for w in self.texts]) if self.texts else np.zeros(0, np.uint64)
+        self.hashes, second = (np.concatenate([np.zeros(0, np.uint64), *[w.hashes(salt) for w in self.texts]]) for salt in (0, 1))
         self.offsets = np.r_[0, np.cumsum(np.concatenate([w.counts for w in self.texts]))].astype(np.int64) if self.texts else np.zeros(1, np.int64)
         grams = ngram_hashes(self.hashes, WINDOW)
         self.starts = np.flatnonzero(inside_docs(self.offsets, WINDOW, len(self.hashes))[: len(grams)])
         self.grams = grams[self.starts]
+        self.checks = (ngram_hashes(second, WINDOW)[self.starts] >> U(32)).astype(np.uint32)
 
     def asked_windows(self, shared: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the windows to ask about (the first of each hash here), and of those known as repeated."""
         maybe = np.flatnonzero(shared[which])
-        _, first = np.unique(self.grams[maybe], return_index=True)
+        order = np.lexsort((maybe, self.checks[maybe], self.grams[maybe]))
+        gram, check = self.grams[maybe[order]], self.checks[maybe[order]]
         is_first = np.zeros(len(maybe), bool)
-        is_first[first] = True
+        is_first[order[np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (check[1:] != check[:-1])])] if len(order) else order] = True
         return maybe[is_first], maybe[~is_first]
 
 
-def _bits(answers: dict, parts: int, order: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, bool)
-    for i in range(parts):
-        k = at[i + 1] - at[i]
-        out[order[at[i]: at[i + 1]]] = np.unpackbits(np.frombuffer(answers[i], np.uint8), count=k).astype(bool)
-    return out
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by a space) of every row."""
     docs, parts = dealt(docs)
@@ -120,9 +123,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     def ask_anchors(table: pa.Table) -> pa.Table:
         c = Chunk(table)
         _, names = anchors(c.hashes, c.offsets, c.starts)
-        order, at = split_parts(names, parts)
-        names = names[order]
-        return rows(np.arange(parts), table["chunk"][0].as_py(), [names[at[i]: at[i + 1]].tobytes() for i in range(parts)])
+        _, to, which = parted(names, parts)
+        return rows(to, table["chunk"][0].as_py(), [names[i].tobytes() for i in which])
 
     def serve_anchors(bodies: list) -> list:
         sent = [np.frombuffer(b, np.uint64) for b in bodies]
@@ -132,43 +134,42 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     def revealed(c: Chunk, answers: dict):
         which, names = anchors(c.hashes, c.offsets, c.starts)
-        order, at = split_parts(names, parts)
-        return c.asked_windows(_bits(answers, parts, order, at, len(names)), which)
+        return c.asked_windows(bits_of(answers, names, parts), which)
 
     def ask_windows(table: pa.Table, answers: dict) -> pa.Table:
+        if not table.num_rows or not answers:  # texts without windows ask nothing
+            return rows(np.zeros(0, np.int32), 0, [])
         c = Chunk(table)
         ask, _ = revealed(c, answers)
         doc = np.searchsorted(c.offsets, c.starts[ask], "right") - 1
         ids = c.table["doc_id"].cast(pa.int64()).fill_null(LAST_ID).to_numpy()
-        order, at = split_parts(c.grams[ask], parts)
-        bodies = []
-        for i in range(parts):
-            w = order[at[i]: at[i + 1]]
+        _, to, which = parted(c.grams[ask], parts)
+        bodies = {part: packed(*[np.zeros(0, t) for t in QUESTION]) for part in answers}
+        for part, w in zip(to.tolist(), which):
             d, n = np.unique(doc[w], return_counts=True)
-            bodies.append(packed(ids[d], n.astype(np.uint32), (c.starts[ask[w]] - c.offsets[doc[w]]).astype(np.uint32), c.grams[ask[w]]))
+            bodies[part] = packed(ids[d], c.digest[d], n.astype(np.uint32), (c.starts[ask[w]] - c.offsets[doc[w]]).astype(np.uint32), c.grams[ask[w]], c.checks[ask[w]])
         # which anchors are shared travels along, so that the last step need not ask again
-        known = [answers[i] for i in range(parts)]
-        return rows(np.arange(parts), table["chunk"][0].as_py(), [packed(np.frombuffer(k, np.uint8), np.frombuffer(b, np.uint8)) for k, b in zip(known, bodies)])
+        return rows(list(bodies), table["chunk"][0].as_py(),
+                    [packed(np.frombuffer(answers.get(part, b""), np.uint8), np.frombuffer(b, np.uint8)) for part, b in bodies.items()])
 
     def serve_windows(bodies: list) -> list:
-        kept, ids, pos, gram, size = [], [], [], [], []
+        kept, found = [], []
         for b in bodies:
             k, body = unpacked(b, np.uint8, np.uint8)
-            d, n, p, g = unpacked(body.tobytes(), np.int64, np.uint32, np.uint32, np.uint64)
-            kept.append(k), ids.append(np.repeat(d, n)), pos.append(p), gram.append(g), size.append(len(g))
-        ids, pos, gram = np.concatenate(ids), np.concatenate(pos), np.concatenate(gram)
-        order = np.lexsort((pos, ids, gram))
+            d, g, n, *rest = unpacked(body.tobytes(), *QUESTION)
+            kept.append(k), found.append((np.repeat(d, n), np.repeat(g, n), *rest))
+        ids, digest, pos, gram, check = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((pos, digest, ids, check, gram))
         later = np.zeros(len(gram), bool)
-        later[order[1:]] = gram[order[1:]] == gram[order[:-1]]
-        ends = np.cumsum(size)
-        return [packed(k, np.packbits(later[e - n: e])) for k, e, n in zip(kept, ends, size)]
+        later[order[1:]] = (gram[order[1:]] == gram[order[:-1]]) & (check[order[1:]] == check[order[:-1]])
+        ends = np.cumsum([len(f[0]) for f in found])
+        return [packed(k, np.packbits(later[e - len(f[0]): e])) for k, e, f in zip(kept, ends, found)]
 
     def cut(table: pa.Table, answers: dict) -> pa.Table:
         c = Chunk(table)
         both = {i: unpacked(b, np.uint8, np.uint8) for i, b in answers.items()}
         ask, known = revealed(c, {i: b[0].tobytes() for i, b in both.items()})
-        order, at = split_parts(c.grams[ask], parts)
-        later = _bits({i: b[1].tobytes() for i, b in both.items()}, parts, order, at, len(ask))
+        later = bits_of({i: b[1].tobytes() for i, b in both.items()}, c.grams[ask], parts)
         step = np.zeros(len(c.hashes) + 1, np.int64)
         for s in (c.starts[ask[later]], c.starts[known]):
             np.add.at(step, s, 1)

@@ -209,15 +209,14 @@ class Encoder:
     def ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
         flat, counts = [], []
         for _, _, w in chunks(texts):
-            keys, first, at = np.unique(w.hashes(), return_index=True, return_inverse=True)
-            keys = keys.tolist()
-            new = [i for i, k in enumerate(keys) if k not in self.known]
+            ends = np.r_[0, np.cumsum(w.end - w.start)]
+            words = pa.Array.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(w.data[w.inside])]).dictionary_encode()
+            keys, at = words.dictionary.to_pylist(), words.indices.to_numpy()
             if len(self.known) > CACHE_WORDS:
-                self.known, new = {}, range(len(keys))
-            raw = w.data.tobytes()
-            words = [raw[w.start[f]: w.end[f]].decode() for f in first[list(new)]] if len(new) else []
-            for i, e in zip(new, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-                self.known[keys[i]] = np.array(e.ids, np.uint16).tobytes()
+                self.known = {}
+            new = [k for k in keys if k not in self.known]
+            for k, e in zip(new, self.tokenizer.encode_batch_fast([k.decode() for k in new], add_special_tokens=False)):
+                self.known[k] = np.array(e.ids, np.uint16).tobytes()
             bodies = [self.known[k] for k in keys]
             pool, size = np.frombuffer(b"".join(bodies), np.uint16), np.array([len(b) // 2 for b in bodies], np.int64)
             start = np.cumsum(size) - size

@@ -2,9 +2,10 @@
 
 A batch of texts is one byte buffer with document offsets. Words are the runs of
 bytes outside a separator set (UTF-8 bytes >= 0x80 are always word bytes, so the
-byte classes equal the code point classes). A word's 64-bit hash is a polynomial in
-random byte values, mixed; it depends on the word's bytes only, so every task on
-every executor gives the same word the same number.
+byte classes equal the code point classes). A word's 64-bit hash adds up its lanes of 8
+bytes, each mixed with its place; it depends on the word's bytes only, so every task on
+every executor gives the same word the same number. (A polynomial modulo 2^64 would not do: for any
+base there are short pairs of words, the Thue-Morse ones, with one hash.)
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ U = np.uint64
 BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 CHUNK_BYTES = 4 << 20  # texts handled at a time; bounds the working memory of a task
 
-_BASE = U(0x9E3779B97F4A7C15)
-_BYTE = np.random.Generator(np.random.PCG64(20240501)).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+_LANE = U(0x9E3779B97F4A7C15)
+_LAST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of a lane's first k bytes
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,16 +69,21 @@ class Words:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, salt: int = 0) -> np.ndarray:
+        """64 bits for each word; other salts give independent ones."""
         length = self.end - self.start
         if not len(length):
             return np.zeros(0, np.uint64)
-        at = np.r_[0, np.cumsum(length)]
-        place = np.arange(at[-1]) - np.repeat(at[:-1], length)
-        power = np.cumprod(np.r_[U(1), np.full(int(length.max()), _BASE, np.uint64)])
-        total = np.zeros(at[-1] + 1, np.uint64)
-        np.cumsum(_BYTE[self.data[self.inside]] * power[place], out=total[1:])
-        return mix(total[at[1:]] - total[at[:-1]])
+        padded = np.r_[self.data, np.zeros(8, np.uint8)]
+        lanes = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from every place on
+        total = np.zeros(len(length), np.uint64)
+        word, place = np.arange(len(length)), 0
+        while len(word):  # lane by lane of the words that are so long
+            body = lanes[self.start[word] + 8 * place] & _LAST[np.minimum(length[word] - 8 * place, 8)]
+            total[word] += mix(body + U((place * 2 + 1) * int(_LANE) & 0xFFFFFFFFFFFFFFFF) ^ U(salt * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF))
+            place += 1
+            word = word[length[word] > 8 * place]
+        return mix(total + length.astype(np.uint64) * _LANE)
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:

@@ -15,6 +15,8 @@ llm = pytest.importorskip("orderscope.llm.registry")
 from orderscope.llm import (chat_rotation, decontaminate, exchange, lm_scoring, mixing, ngram_jaccard, quality_classifier,  # noqa: E402
                             quality_rules, sharding, substring_dedup, token_files)
 
+from orderscope.llm import words as exchange_words  # noqa: E402
+
 ROWS = C.documents()
 EMPTY = []
 
@@ -333,3 +335,62 @@ def test_pipeline(spark, sf):
     assert max(Counter(r.doc_id for r in kept[3]).values()) <= 2
     assert len(kept[4]) == len(kept[3]) and all(sorted(r.slot for r in kept[4] if r.shard == s) == list(range(sum(r.shard == s for r in kept[4]))) for s in range(16))
     assert len(P.run(spark, folder).collect()) == len(kept[4])
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n)), "".join("ba"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_collide_modulo_two_to_the_64(spark):
+    """Two words of 1,024 characters with one polynomial hash, whatever its base, are two words everywhere."""
+    import pyarrow as pa
+    one, other = thue_morse(1024)
+    data = pa.array([one, other])
+    for salt in (0, 1):
+        (_, _, w), = exchange_words.chunks(data)
+        assert len(set(w.hashes(salt).tolist())) == 2
+    fill = "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10 x11 x12 x13 x14 x15 x16 x17 x18 x19 x20 x21 x22 x23 x24 x25"
+    rows = [(1, f"{one} " + " ".join([one] * 25), None, None), (2, f"{other} " + " ".join([other] * 25), None, None), (3, one, None, None), (4, other, None, None),
+            (5, fill.replace("x13", one), None, None), (6, fill.replace("x13", other), None, None)]
+    C.same(substring_dedup.deduplicated(C.frame(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect(), C.kept_words(rows))
+    C.same(ngram_jaccard.near_duplicates(C.frame(spark, rows)).collect(), C.components(rows))
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    flat, counts = token_files.Encoder(path).ids(data)
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in (one, other)]
+    assert counts.tolist() == [len(w) for w in want] and flat.tolist() == want[0] + want[1]
+
+
+def test_equal_ids_have_one_order_for_any_number_of_chunks(spark, monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [(7, passage + " tail of one", None, None), (7, "head of the other " + passage, None, None), (None, passage + " nowhere", None, None)] + [(100 + i, f"filler {i} " * 9, None, None) for i in range(30)]
+    outcomes = set()
+    for size in (1 << 20, 4000, 600):
+        monkeypatch.setattr(substring_dedup, "dealt", lambda d, size=size: exchange.dealt(d, chunk_text=size, part_text=size))
+        outcomes.add(tuple(sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substring_dedup.deduplicated(C.frame(spark, rows)).collect())))
+    assert len(outcomes) == 1
+
+
+def test_one_token_shared_by_many_near_copies(spark, monkeypatch):
+    """A family around one passage: pairs are made once, however many tokens two sets share."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base + [f"u{i}_{j}" for j in range(8 + i % 30)]), None, None) for i in range(700)]
+    made = []
+    real = ngram_jaccard.tiled
+    monkeypatch.setattr(ngram_jaccard, "tiled", lambda *a: made.append(ngram_jaccard.written(real(*a), "test")) or made[-1])
+    monkeypatch.setattr(ngram_jaccard, "MAX_ROUNDS", 0), monkeypatch.setattr(ngram_jaccard, "MIN_ROUNDS", 0), monkeypatch.setattr(ngram_jaccard, "BLOCK", 256)
+    C.same(ngram_jaccard.near_duplicates(C.frame(spark, rows)).collect(), C.components(rows))
+    pairs = [tuple(r) for r in made[0].collect()]
+    assert pairs and len(pairs) == len(set(pairs))
+
+
+def test_messages_are_never_more_than_keys(spark, monkeypatch):
+    """Chunks send nothing to parts that they have no keys for."""
+    sent = []
+    real = exchange.asked
+    monkeypatch.setattr(ngram_jaccard, "asked", lambda docs, ask: sent.append(real(docs, ask)) or sent[-1])
+    monkeypatch.setattr(ngram_jaccard, "dealt", lambda d: exchange.dealt(d, chunk_text=300, part_text=30))
+    ngram_jaccard.described(C.frame(spark, [(i, " ".join(f"w{i}_{j}" for j in range(12)), None, None) for i in range(60)]).select("doc_id", "text")).collect()
+    assert sent[0].count() <= 60 * 8  # eight shingles each
+    assert sent[0].where("length(body) = 0").count() == 0
