@@ -21,6 +21,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ LONG, LEAF = 1 << 15, 1 << 14
 #: Bytes re-encoded on either side of a join at first, and bytes of texts that a library call gets at most.
 REACH, CALL = 256, 1 << 21
 #: Different words whose ids a task keeps.
-KNOWN = 400_000
+KNOWN = 100_000
 #: First bytes of characters that are not white space (some characters behind C2, E1, E2 and E3 are).
 _VISIBLE = np.array([b > 0x20 and b not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 
@@ -44,31 +45,42 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Codec:
-    """The library's tokenizer and the bytes of every id."""
+class Vocabulary:
+    """The bytes of every id of a byte-level tokenizer file."""
 
     def __init__(self, model: str):
+        kind = json.loads(model)
+        symbol, added = byte_symbols(), {t["id"]: t["content"] for t in kind.get("added_tokens", [])}
+        body = {i: bytes(symbol[c] for c in token) if all(c in symbol for c in token) else token.encode() for token, i in kind["model"]["vocab"].items()}
+        body |= {i: token.encode() for i, token in added.items()}
+        self.length = np.zeros(max(body) + 1, np.int64)
+        self.length[list(body)] = [len(b) for b in body.values()]
+        self.start = np.cumsum(self.length) - self.length
+        self.pool = np.frombuffer(b"".join(body[i] for i in sorted(body)), np.uint8)
+        cutter = kind.get("pre_tokenizer") or {}
+        self.words_apart = (kind.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", False)
+                            and not cutter.get("add_prefix_space", True) and not any(" " in t for t in added.values()))
+        #: A special token cut by an edge, and the word and blanks before it, end within so many bytes of it.
+        self.margin = 64 + max([len(t.encode()) for t in added.values()], default=0)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of the ids in a row, special tokens included."""
+        n = self.length[ids]
+        ends = np.cumsum(n)
+        return self.pool[np.repeat(self.start[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+
+class Codec(Vocabulary):
+    """The library's tokenizer besides, and the ids of words seen before."""
+
+    def __init__(self, model: str):
+        super().__init__(model)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; Spark shares the rows out
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        symbol, added = byte_symbols(), self.tokenizer.get_added_tokens_decoder()
-        size = self.tokenizer.get_vocab_size()
-        body = [b""] * size
-        for token, i in self.tokenizer.get_vocab().items():
-            known = i not in added and all(c in symbol for c in token)
-            body[i] = bytes(symbol[c] for c in token) if known else token.encode()
-        self.length = np.array([len(b) for b in body], np.int64)
-        self.start = np.cumsum(self.length) - self.length
-        self.pool = np.frombuffer(b"".join(body), np.uint8)
-        kind, shown = json.loads(model), [t.content for t in added.values()]
-        cutter = kind.get("pre_tokenizer") or {}
-        self.words_apart = (kind.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", False)
-                            and not cutter.get("add_prefix_space", True) and not any(" " in c for c in shown))
-        self.known: dict[bytes, np.ndarray] = {}
-        #: A special token cut by an edge, and the word and blanks before it, end within so many bytes of it.
-        self.margin = 64 + max([len(t.content.encode()) for t in added.values()], default=0)
+        self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Where a blank stands before something visible a new word begins whatever is around
@@ -99,10 +111,10 @@ class Codec:
         for lo in range(0, len(new), 4096):
             part = new[lo: lo + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.int32)
+                self.known[w] = np.array(e.ids, np.int32).tobytes()
         bodies = [self.known[w] for w in own]
-        pool = np.concatenate([np.zeros(0, np.int32), *bodies])
-        size = np.array([len(x) for x in bodies], np.int64)
+        pool = np.frombuffer(b"".join(bodies), np.int32)
+        size = np.array([len(x) // 4 for x in bodies], np.int64)
         at = words.indices.to_numpy()
         n = size[at]
         total = np.r_[0, np.cumsum(n)]
@@ -110,12 +122,6 @@ class Codec:
         flat = pool[np.repeat(first - total[:-1], n) + np.arange(total[-1])]
         return np.split(flat, total[np.searchsorted(starts, bounds[1:-1])])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of the ids in a row, special tokens included."""
-        n = self.length[ids]
-        ends = np.cumsum(n)
-        return self.pool[np.repeat(self.start[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-
     def join(self, data: bytes, cut: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ids of ``data`` from those of ``data[:cut]`` and ``data[cut:]``."""
         left_at = np.cumsum(self.length[left]) - self.length[left]
@@ -145,15 +151,24 @@ class Codec:
             ahead *= 2
 
 
-_codecs: dict[str, Codec] = {}
+_made: dict[tuple, Vocabulary] = {}
+
 
+def codec(model: str, kind: type = Codec):
+    """One codec or vocabulary per Python worker and tokenizer."""
+    if (model, kind) not in _made:
+        _made.clear()
+        _made[model, kind] = kind(model)
+    return _made[model, kind]
 
-def codec(model: str) -> Codec:
-    """One codec per Python worker and tokenizer."""
-    if model not in _codecs:
-        _codecs.clear()
-        _codecs[model] = Codec(model)
-    return _codecs[model]
+
+def slices(batch: pa.RecordBatch, sizes: np.ndarray, limit: int):
+    """Runs of rows whose sizes add up to about ``limit``: what a task holds at a time."""
+    at, total = 0, np.cumsum(sizes)
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def halves(text: str, leaf: int) -> list[str]:
@@ -185,8 +200,9 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     kind = rows.schema["key"].dataType.simpleString()
 
     def whole(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(codec(model.value).encode(b.column(1).to_pylist()))], names=["key", "ids"])
+        for batch in batches:
+            for b in slices(batch, pc.binary_length(batch.column(1)).to_numpy(), CALL):
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(codec(model.value).encode(b.column(1).to_pylist()))], names=["key", "ids"])
 
     def cut(batches):
         for b in batches:
@@ -227,8 +243,8 @@ def decoded(ids: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     rows = ids.select(F.col(key).alias("key"), "ids")
 
     def run(batches):
-        for b in batches:
-            c = codec(model.value)
+        for b in (b for batch in batches for b in slices(batch, pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(), CALL // 4)):
+            c = codec(model.value, Vocabulary)
             texts = [c.decode(x.values.to_numpy()).decode("utf-8", "replace") if x.is_valid else "" for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=["key", "ids", "text"])
 
