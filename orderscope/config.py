@@ -85,6 +85,7 @@ RAW_SOURCE_COLUMNS = [
 RAW_DATE_COLUMNS = ["data_ord", "data_cons", "data_spedizione", "data_invio_contratto",
                     "data_ric_cont_firmato", "data_consegna"]
 RAW_NUMERIC_COLUMNS = ["importo_ordine", "qta", "importo_unit", "importo_tot"]
+WIDE_NUMERIC_COLUMNS = ["qta", "importo_unit"]   # not amounts: their decimals are kept
 TEXT_COLUMNS = ["oggetto", "descrizione", "desc", "note"]
 ID_COLUMN = "ordine_n"
 VENDOR_COLUMN = "fornitore"

@@ -21,7 +21,7 @@ then id asc.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as TX
 from ..functions import vectors as V
-from ..session import materialize
+from ..session import materialize, written_once
 from ..sources import fixtures as FX
 from ..sources import tables as T
 from . import bm25 as B
@@ -40,6 +40,7 @@ class Corpus:
     docs: DataFrame          # id, text, text_normalized, dl, vec
     index: B.BM25Index
     id_col: str
+    meta: list[str] = field(default_factory=list)
 
 
 def build_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -64,6 +65,24 @@ def build_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(docs, index, "doc_id")
 
 
+def corpus_of(df: DataFrame, id_col: str, text_col: str, vec_col: str, meta: list[str] | None = None, keep=None) -> Corpus:
+    """R1/R7 over any table: rows with a vector, their normalised text, postings and terms, and the columns ``meta``
+    that hits carry. ``keep(name, build, sort_within)`` stores the parts (default: computed where they are used)."""
+    keep = keep or (lambda name, build, **how: build())
+    meta = [c for c in (meta or []) if c not in (id_col, "text", "text_normalized", "dl", "vec")]
+
+    def rows():
+        have = TX.with_normalized_text(df.where(F.col(vec_col).isNotNull()), text_col, "__normalized")
+        return have.select(id_col, F.col(text_col).alias("text"), F.col("__normalized").alias("text_normalized"), V.l2_normalize(vec_col).alias("vec"),
+                           F.size(TX.tokenize("__normalized")).cast("long").alias("dl"), *meta)
+
+    docs = keep("docs", rows)
+    postings = keep("postings", lambda: B.postings_from(docs.select(id_col, TX.tokenize("text_normalized").alias("tokens")), id_col), sort_within=["term"])
+    stats = B.stats_from(docs.select(id_col, "dl"))
+    terms = keep("terms", lambda: B.terms_from(postings, stats.select("n_docs").scalar()))
+    return Corpus(docs, B.BM25Index(docs.select(id_col, "dl"), postings, terms, stats, id_col), id_col, meta)
+
+
 def query_text(spark: SparkSession, sf_dir: str, item_id: int = 0) -> DataFrame:
     return T.load(spark, sf_dir, "benchmark").where(F.col("item_id") == item_id).select("text")
 
@@ -122,3 +141,22 @@ def hybrid_search(corpus: Corpus, qterms: DataFrame, qvec: Column, top_k: int =
                         F.round("vec_score_n", 6).alias("score_vector"),
                         F.round("bm25_n", 6).alias("score_bm25"),
                         "text"))
+
+
+def hybrid_hits(corpus: Corpus, qterms: DataFrame, qvec: Column, top_k: int = C.DEFAULT_TOP_K, alpha: float = C.DEFAULT_ALPHA) -> DataFrame:
+    """The search with the whole hit (C8): scores, both texts and the corpus' metadata columns.
+
+    The scored documents are written once, so the postings are read once, and documents that share no word with the
+    query need no row of their own: their score is 0, and of them only as many lowest ids count as the cut has room for."""
+    idc, k = corpus.id_col, top_k * C.CANDIDATE_FACTOR
+    scored = written_once(B.score_terms(corpus.index, qterms), "bm25-hits")
+    vtop = written_once(_cut(corpus.docs.select(idc, V.dot(F.col("vec"), V.l2_normalize(qvec)).alias("vec_score")), "vec_score", idc, k), "vector-hits")
+    zero = _cut(corpus.docs.select(idc).join(scored.select(idc), idc, "left_anti").withColumn("bm25", F.lit(0.0)), "bm25", idc, k)
+    btop = _cut(scored.unionByName(zero), "bm25", idc, k)
+    ids = vtop.select(idc).union(btop.select(idc)).distinct()
+    cand = (ids.join(scored, idc, "left").join(vtop, idc, "left").fillna(0.0, ["bm25", "vec_score"]))
+    fused = minmax(cand, ["vec_score", "bm25"], idc).withColumn("score_combined", F.lit(alpha) * F.col("vec_score_n") + F.lit(1.0 - alpha) * F.col("bm25_n"))
+    best = _cut(fused, "score_combined", idc, top_k)
+    meta = corpus.docs.select(idc, "text", "text_normalized", *corpus.meta)
+    return meta.join(F.broadcast(best), idc).select(idc, F.round("score_combined", 6).alias("score_combined"), F.round("vec_score_n", 6).alias("score_vector"),
+                                                    F.round("bm25_n", 6).alias("score_bm25"), "text", "text_normalized", *corpus.meta)

@@ -10,9 +10,13 @@ because the tiebreak column makes the range key unique.
 
 * ``with_row_ids`` — contiguous 0..n-1 ids (A4), equal to
   ``row_number() over (order by keys) - 1`` when the keys are unique.
-* ``exact_percentile`` — linear-interpolated exact quantile per group
+* ``ranged_percentile`` — linear-interpolated exact quantile per group
   (= Spark ``percentile`` / DuckDB ``quantile_cont``) without buffering a
   group's values in one task.
+* ``exact_percentile`` — the same quantile by bracketed selection: a sketch
+  brackets the wanted ranks, one pass counts what lies below the bracket,
+  and only values inside it are ordered. Nothing is written and only values
+  inside brackets are shuffled.
 
 The tagged rows (range partition id and position inside it) are written
 once to the shared checkpoint folder and read back: the positions become
@@ -85,9 +89,62 @@ def rank_within_groups(df: DataFrame, group_cols: list[str], order_cols: list[st
     return res.drop("_pid", "_mid", "_first", "_off")
 
 
+#: Rank error of the bracketing sketch, as a share of a group's rows, is at most 1 / ACCURACY.
+ACCURACY = 10_000
+#: Different values inside brackets that windows may order, on average per group; more go to ``ranged_percentile``.
+INSIDE_LIMIT = 2_000_000
+
+
 def exact_percentile(df: DataFrame, value: str, p: float, group_cols: list[str] | None = None,
                      out: str = "percentile", num_partitions: int | None = None) -> DataFrame:
-    """Exact quantile with linear interpolation, NULL values skipped; one row per group."""
+    """Exact quantile with linear interpolation, NULL values skipped; one row per group with values.
+
+    The sketch's bracket is wider than its error on both sides; should the wanted rank still lie
+    outside it, the result is an error, never a wrong number."""
+    group_cols = list(group_cols or [])
+    base = df.select(*group_cols, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    slack = 3.0 / ACCURACY
+    cuts = [max(0.0, p - slack), min(1.0, p + slack)]
+    sketch = base.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", cuts, ACCURACY).alias("_cut"),
+                                           F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    pos = F.lit(float(p)) * (F.col("_n") - 1)
+    # small groups keep their whole range; the sketch is exact in their order of magnitude
+    all_of_it = F.col("_n") <= 2 * ACCURACY
+    sketch = sketch.select(*group_cols, "_n", pos.alias("_pos"),
+                           F.when(all_of_it, F.col("_min")).otherwise(F.col("_cut")[0]).alias("_lo"),
+                           F.when(all_of_it, F.col("_max")).otherwise(F.col("_cut")[1]).alias("_hi"))
+    if group_cols:
+        groups = _approx_groups(df, group_cols)
+        if groups * 2 * ACCURACY > INSIDE_LIMIT * 100:  # very many groups: no sketch of each
+            return ranged_percentile(df, value, p, group_cols, out, num_partitions)
+        same = [F.col(f"_b.{c}").eqNullSafe(F.col(f"_a.{c}")) for c in group_cols]
+        side = F.broadcast(sketch) if groups <= ENGINE.broadcast_row_limit else sketch
+        rows = base.alias("_a").join(side.alias("_b"), same).select("_a.*", "_n", "_pos", "_lo", "_hi")
+    else:
+        one = sketch.first()
+        if not one["_n"]:
+            return base.agg(F.lit(None).cast("double").alias(out))
+        rows = base.select("_v", *[F.lit(one[c]).alias(c) for c in ("_n", "_pos", "_lo", "_hi")])
+    # below: one count a group; inside: one row a different value
+    bucket = F.when(F.col("_v") < F.col("_lo"), F.lit(None)).otherwise(F.col("_v"))
+    counted = (rows.where(F.col("_v") <= F.col("_hi")).groupBy(*group_cols, "_n", "_pos", bucket.alias("_v"))
+               .agg(F.count(F.lit(1)).alias("_c")))
+    w = Window.partitionBy(*group_cols).orderBy(F.col("_v").asc_nulls_first())
+    placed = counted.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
+
+    def at(rank):
+        return F.max(F.when((F.col("_start") <= rank) & (F.col("_end") > rank), F.col("_v")))
+
+    picked = placed.groupBy(*group_cols, "_pos").agg(at(F.floor("_pos")).alias("_vlo"), at(F.ceil("_pos")).alias("_vhi"))
+    missed = F.col("_vlo").isNull() | F.col("_vhi").isNull()
+    res = F.col("_vlo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_vhi") - F.col("_vlo"))
+    return picked.select(*group_cols, F.when(missed, F.raise_error(F.lit("a percentile's rank lies outside its bracket")).cast("double"))
+                         .otherwise(res).alias(out))
+
+
+def ranged_percentile(df: DataFrame, value: str, p: float, group_cols: list[str] | None = None,
+                      out: str = "percentile", num_partitions: int | None = None) -> DataFrame:
+    """The same quantile by positions in a global order (written once): any number of groups of any size."""
     group_cols = list(group_cols or [])
     n = _partitions(df, num_partitions)
     base = (df.select(*group_cols, F.col(value).cast("double").alias("_v"))

@@ -15,8 +15,8 @@ Scale notes: every question is a single scan of the date-sorted table with
 partial (map-side) aggregation; "scalar then filter" questions use a
 scalar subquery (one extra tiny job, no join); top-1 per group uses
 ``min_by`` over a struct key (partial-aggregable, no window); exact
-quantiles use ``operators.ranking.exact_percentile`` (range sort, no
-single-task buffer per group).
+quantiles use ``operators.ranking.exact_percentile`` (a sketch brackets
+the rank, only values inside the bracket are ordered).
 """
 
 from __future__ import annotations

@@ -135,8 +135,9 @@ def register_all(register, with_cte) -> None:
     _ingest(register, with_cte)
     _filters_vectors(register, with_cte)
     _retrieval(register, with_cte)
-    from . import extra2
-    extra2.register_all(register, with_cte)
+    from . import extra2, retrieval, storage
+    for module in (extra2, retrieval, storage):
+        module.register_all(register, with_cte)
 
 
 # ----------------------------------------------------------------------------- S: text functions

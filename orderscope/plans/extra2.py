@@ -96,6 +96,12 @@ def _sql(register, with_cte):
 
 # ----------------------------------------------------------------------------- A6 / U1 / U2 / C4 / C5 / C1-C2
 
+def prepared_documents(s, sf):
+    """The prepared document table (normalised once per input version) the embedding jobs read."""
+    return materialize(s, "documents_prepared", [T.path(sf, "documents")],
+                       lambda: TX.with_normalized_text(X._docs(s, sf), "text"))
+
+
 def _jobs(register, with_cte):
     def upsert_orders(s, sf):
         o = T.load(s, sf, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"])
@@ -113,11 +119,7 @@ SELECT * FROM t WHERE o_orderstatus <> 'O'
 UNION ALL
 SELECT record_id, 'P' AS o_orderstatus, CAST(amount * 1.20 AS DECIMAL(18,2)) AS amount FROM t WHERE o_orderstatus = 'O'""")
 
-    def docs_keyed(s, sf):
-        """The prepared document table (normalised once per input version) the embedding jobs read."""
-        inputs = [T.path(sf, "documents")]
-        return materialize(s, "documents_prepared", inputs,
-                           lambda: TX.with_normalized_text(X._docs(s, sf), "text"))
+    docs_keyed = prepared_documents
 
     def cache_from_labels(s, sf):
         """The previous run embedded the labelled documents: their keys form the cache."""

@@ -118,3 +118,8 @@ def materialize(spark: SparkSession, name: str, inputs: list[str], build, *,
     return spark.read.parquet(path)
 
 
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several plans read to the shared folder and read it back: a lineage cut."""
+    path = shared_dir(df.sparkSession, "steps", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

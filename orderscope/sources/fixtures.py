@@ -114,7 +114,8 @@ JOIN region r ON n.n_regionkey = r.r_regionkey
 # ---------------------------------------------------------------------------
 
 
-def build_order_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_order_vectors(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
+    """``how`` "right" keeps the orders without a vector."""
     e = T.load(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     o = T.load(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                          "o_orderdate", "o_orderpriority"])
@@ -123,7 +124,7 @@ def build_order_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = T.load(spark, sf_dir, "region", ["r_regionkey", "r_name"])
     geo = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
     cust = c.join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey)
-    df = e.join(o, e.vec_id == o.o_orderkey).join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    df = e.join(o, e.vec_id == o.o_orderkey, how).join(cust, F.col("o_custkey") == F.col("c_custkey"))
     return df.select(
         F.col("o_orderkey").alias("record_id"),
         F.col("o_orderkey").cast("string").alias("order_code"),

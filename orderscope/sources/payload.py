@@ -20,7 +20,7 @@ reported on this page as ``continuation``, the rest opens the next page.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,8 @@ from ..operators.ranking import rank_within_groups
 from . import tables as TB
 
 LINES_PER_PAGE = 3
+#: Pages of a document that one window orders.
+PAGES_PER_RUN = 1000
 
 ITEM = T.StructType([
     T.StructField("code", T.StringType()),
@@ -90,6 +92,39 @@ def build_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "page", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
 
 
+def long_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, payload): every line has a page of its own and reaches it over two breaks, the pages between hold no
+    item; odd lines name their code at the break only; behind the last line a text begins whose page never came."""
+    from ..session import materialize
+    inputs = [TB.path(sf_dir, "lineitem"), TB.path(sf_dir, "part")]
+    return materialize(spark, "long_page_payloads", inputs, lambda: build_long_pages(spark, sf_dir))
+
+
+def build_long_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = TB.load(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+    p = TB.load(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand"])
+    pos = rank_within_groups(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "line")
+    n = pos.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    third = F.floor(F.length("d") / 3).cast("int")
+    lines = pos.join(p, pos.l_partkey == p.p_partkey).join(n, "l_orderkey").select(
+        F.col("l_orderkey").alias("doc_id"), "line", "n", F.col("p_brand").alias("code"), F.col("p_name").alias("d")).withColumn("k", third)
+    cut, last = F.col("line") > 0, F.col("line") == F.col("n") - 1
+    none = F.lit(None).cast("string")
+    item = F.struct(F.when(F.col("line") % 2 == 0, F.col("code")).when(~cut, F.col("code")).alias("code"),
+                    F.when(cut, F.expr("substring(d, 2 * k + 1)")).otherwise(F.col("d")).alias("description"),
+                    none.alias("quantity"), F.lit(None).cast("double").alias("unit_price"), F.lit(None).cast("double").alias("total_price"))
+
+    def pending(text, when):
+        return F.struct(F.when(when, F.col("code")).alias("pending_code"), F.when(when, text).alias("pending_description"))
+
+    own = lines.select("doc_id", (2 * F.col("line")).alias("page"), F.array(item).alias("items"), pending(F.concat(F.lit("then "), F.col("d")), last).alias("tail"))
+    between = lines.where(cut).select("doc_id", (2 * F.col("line") - 1).alias("page"), F.array().cast(PAYLOAD["items"].dataType).alias("items"),
+                                      pending(F.expr("substring(d, k + 1, k)"), F.lit(True)).alias("tail"))
+    before = lines.where(cut).select("doc_id", (2 * F.col("line") - 2).alias("page"), pending(F.expr("substring(d, 1, k)"), F.lit(True)).alias("ahead"))
+    out = own.unionByName(between).join(before, ["doc_id", "page"], "left")
+    return out.select("doc_id", "page", F.to_json(F.struct("items", F.coalesce("ahead", "tail").alias("continuation")), {"ignoreNullFields": "false"}).alias("payload"))
+
+
 def payload_items(pages_df: DataFrame) -> DataFrame:
     """A10: validate and unnest; (doc_id, page, item_pos, item fields)."""
     parsed = pages_df.select("doc_id", "page", F.from_json("payload", PAYLOAD).alias("p"))
@@ -121,3 +156,49 @@ FROM (SELECT l.l_orderkey AS doc_id,
              p.p_brand AS code, p.p_name AS description, CAST(l.l_quantity AS VARCHAR) AS quantity,
              l.l_extendedprice / l.l_quantity AS unit_price, l.l_extendedprice AS total_price
       FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
+
+
+def rejected_payloads(pages_df: DataFrame) -> DataFrame:
+    """Pages that break the contract (no items or no continuation), as they came."""
+    p = F.from_json("payload", PAYLOAD)
+    return pages_df.where(p.isNull() | p["items"].isNull() | p["continuation"].isNull())
+
+
+def payload_chains(pages_df: DataFrame) -> DataFrame:
+    """A11 over any number of page breaks: (doc_id, page, item_pos, code, description, open).
+
+    The text cut at a page's end goes on with the first item of the next page. Where a page has no
+    item before its own break, or one item only that is cut again, the text goes on over several pages: the pieces of
+    one text form a chain, named by the page where it begins: the latest beginning at or before a page, found by runs of
+    PAGES_PER_RUN pages, so that a long document's pages are not one task. Its pieces are joined in page order. A chain whose page is the last
+    of its document, or is followed by a missing or invalid page, stays as an item of its own with ``open`` true (its
+    tail never came). The code is the first item's own or, where that is null, the pending code.
+    """
+    p = F.from_json("payload", PAYLOAD)
+    valid = pages_df.select("doc_id", F.col("page").cast("bigint").alias("page"), p["items"].alias("items"), p["continuation"].alias("cont")) \
+        .where(F.col("items").isNotNull() & F.col("cont").isNotNull())
+    cut = F.col("cont.pending_description").isNotNull()
+    before = valid.join(valid.where(cut).select("doc_id", (F.col("page") + 1).alias("page"), F.lit(True).alias("into")), ["doc_id", "page"], "left") \
+        .withColumn("into", F.coalesce("into", F.lit(False)))
+    # a page without items hands on the text that came into it
+    started = before.withColumn("start", F.when(cut & ~(F.col("into") & (F.size("items") == 0)), F.col("page"))).withColumn("run", F.floor(F.col("page") / PAGES_PER_RUN))
+    w = Window.partitionBy("doc_id", "run").orderBy("page")
+    runs = started.groupBy("doc_id", "run").agg(F.max("start").alias("latest")) \
+        .select("doc_id", "run", F.max("latest").over(Window.partitionBy("doc_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    numbered = started.withColumn("upto", F.max("start").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
+        .withColumn("ahead", F.max("start").over(w.rowsBetween(Window.unboundedPreceding, -1))).join(runs, ["doc_id", "run"]) \
+        .withColumn("chain_in", F.when(F.col("into"), F.coalesce("ahead", "earlier"))).withColumn("chain_out", F.when(cut, F.coalesce("upto", "earlier")))
+    items = numbered.select("doc_id", "page", "chain_in", F.posexplode("items").alias("item_pos", "it"))
+    plain = items.where((F.col("item_pos") > 0) | F.col("chain_in").isNull()) \
+        .select("doc_id", "page", F.col("item_pos").cast("bigint").alias("item_pos"), "it.code", "it.description", F.lit(False).alias("open"))
+    heads = numbered.where("chain_out IS NOT NULL").select("doc_id", F.col("chain_out").alias("chain"), "page", F.lit(0).alias("tail"),
+                                                           F.col("cont.pending_code").alias("code"), F.col("cont.pending_description").alias("text"), F.lit(None).cast("bigint").alias("at"))
+    tails = items.where((F.col("item_pos") == 0) & F.col("chain_in").isNotNull()) \
+        .select("doc_id", F.col("chain_in").alias("chain"), "page", F.lit(1).alias("tail"), "it.code", F.col("it.description").alias("text"), F.col("page").alias("at"))
+    piece = F.struct("page", "tail", "code", "text")
+    chains = heads.unionByName(tails).groupBy("doc_id", "chain").agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.max("at").alias("at"), F.max("page").alias("last"))
+    joined = chains.select("doc_id", F.coalesce("at", "last").alias("page"), F.when(F.col("at").isNull(), F.lit(-1)).otherwise(0).cast("bigint").alias("item_pos"),
+                           F.coalesce(F.get(F.filter("pieces", lambda x: x["tail"] == 1), F.lit(0))["code"],
+                                      F.get(F.filter("pieces", lambda x: x["code"].isNotNull()), F.lit(0))["code"]).alias("code"),
+                           F.array_join(F.transform("pieces", lambda x: x["text"]), "").alias("description"), F.col("at").isNull().alias("open"))
+    return plain.unionByName(joined)
