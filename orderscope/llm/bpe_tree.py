@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from .common import table, written
 LONG, LEAF = 1 << 15, 1 << 14
 #: Bytes re-encoded on either side of a join at first, and bytes of texts that a library call gets at most.
 REACH, CALL = 256, 1 << 21
-#: Different words whose ids a task keeps.
-KNOWN = 100_000
+#: Different words whose ids a task keeps, twice.
+KNOWN = 200_000
 #: First bytes of characters that are not white space (some characters behind C2, E1, E2 and E3 are).
 _VISIBLE = np.array([b > 0x20 and b not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 
@@ -81,6 +82,7 @@ class Codec(Vocabulary):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Where a blank stands before something visible a new word begins whatever is around
@@ -95,24 +97,42 @@ class Codec(Vocabulary):
             lo = hi
         return out
 
+    def _bodies(self, own: list[bytes]) -> list[bytes]:
+        """Ids (4 bytes each) of different words. Those not seen lately are encoded in one text: where each begins with
+        a blank and something visible, a text of words is encoded word by word."""
+        bodies = list(map(self.known.get, own))
+        missing = [i for i, x in enumerate(bodies) if x is None]
+        for i in missing:
+            bodies[i] = self.older.get(own[i])
+        fresh = [i for i in missing if bodies[i] is None]
+        inner = [i for i in fresh if self.words_apart and own[i][:1] == b" " and len(own[i]) > 1 and _VISIBLE[own[i][1]]]
+        if inner:
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join([own[i] for i in inner]).decode()], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(own[i]) for i in inner]), "left") + 1
+            raw, lo = ids.tobytes(), 0
+            for i, hi in zip(inner, (4 * ends).tolist()):
+                bodies[i] = raw[lo:hi]
+                lo = hi
+        rest = [i for i in fresh if bodies[i] is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([own[i].decode() for i in rest], add_special_tokens=False)):
+            bodies[i] = array("i", e.ids).tobytes()
+        self.known.update((own[i], bodies[i]) for i in missing)
+        if len(self.known) > KNOWN:  # words that are not asked for again are forgotten with the next generation
+            self.known, self.older = {}, self.known
+        return bodies
+
     def _encoded(self, texts: list[bytes]) -> list[np.ndarray]:
         bounds = np.cumsum([0, *map(len, texts)])
         raw = b"".join(texts)
         data = np.frombuffer(raw, np.uint8)
-        starts = np.unique(bounds[:-1])
+        begins = np.zeros(len(data) + 1, bool)
+        begins[bounds[:-1]] = True
         if self.words_apart and len(data):
-            starts = np.union1d(starts, np.flatnonzero((data[:-1] == 0x20) & _VISIBLE[data[1:]]))
-        starts = starts[starts < len(data)]
+            begins[:-2] |= (data[:-1] == 0x20) & _VISIBLE[data[1:]]
+        starts = np.flatnonzero(begins[:-1])
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[starts, len(data)].astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
         own = words.dictionary.to_pylist()
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        new = [w for w in own if w not in self.known]
-        for lo in range(0, len(new), 4096):
-            part = new[lo: lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.int32).tobytes()
-        bodies = [self.known[w] for w in own]
+        bodies = self._bodies(own)
         pool = np.frombuffer(b"".join(bodies), np.int32)
         size = np.array([len(x) // 4 for x in bodies], np.int64)
         at = words.indices.to_numpy()
