@@ -23,15 +23,13 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go (statistics carry the row along, so no join is needed).
+    """Documents that the classifier rejects go (rows are judged where they stand, so no join is needed).
     The fit takes the statistics of its labelled rows only, bounded by its documented sample."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
     sample = F.broadcast(quality_classifier.fit_labels(labels).select("doc_id"))  # at most MAX_FIT_ROWS ids
     fitted = docs.select("doc_id", "text").join(sample, "doc_id", "left_semi")
     forest = quality_classifier.fit(written(quality_classifier.statistics(fitted), "pipeline-stats"), labels)
-    rows = docs.select(*COLUMNS).withColumn("__text", F.col("text"))
-    stats = quality_classifier.statistics(rows, "__text")
-    return quality_classifier.scored(stats, forest).where("predicted = 1").select(*COLUMNS)
+    return quality_classifier.judged(docs.select(*COLUMNS), forest).where("predicted = 1").select(*COLUMNS)
 
 
 def _row(docs: DataFrame) -> Column:

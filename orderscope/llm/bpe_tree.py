@@ -26,14 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, trimmed, written
 
 #: Characters: texts above LONG are cut into pieces of at most LEAF.
 LONG, LEAF = 1 << 15, 1 << 14
 #: Bytes re-encoded on either side of a join at first, and bytes of texts that a library call gets at most.
 REACH, CALL = 256, 1 << 21
 #: Different words whose ids a task keeps, twice.
-KNOWN = 200_000
+KNOWN = 150_000
 #: First bytes of characters that are not white space (some characters behind C2, E1, E2 and E3 are).
 _VISIBLE = np.array([b > 0x20 and b not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 
@@ -212,17 +212,25 @@ def model_text(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", long: int = LONG, leaf: int = LEAF) -> DataFrame:
+def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", long: int = LONG, leaf: int = LEAF, decode: bool = False) -> DataFrame:
     """(key, ids array<int>) of every row, as the tokenizers library encodes the whole text with the file at
-    ``path``, without the tokens that its post-processor would add."""
+    ``path``, without the tokens that its post-processor would add. With ``decode``, a third column ``text`` is made
+    from the ids in the same pass (as by ``decoded``)."""
     model = model_text(docs.sparkSession, path)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
+    names = ["key", "ids", *(["text"] if decode else [])]
+    schema = f"key {kind}, ids array<int>" + (", text string" if decode else "")
+
+    def shown(keys, ids: list[np.ndarray]) -> list:
+        c = codec(model.value)
+        return [keys, _lists(ids), *([pa.array([c.decode(x).decode("utf-8", "replace") for x in ids], pa.string())] if decode else [])]
 
     def whole(batches):
         for batch in batches:
             for b in slices(batch, pc.binary_length(batch.column(1)).to_numpy(), CALL):
-                yield pa.RecordBatch.from_arrays([b.column(0), _lists(codec(model.value).encode(b.column(1).to_pylist()))], names=["key", "ids"])
+                yield pa.RecordBatch.from_arrays(shown(b.column(0), codec(model.value).encode(b.column(1).to_pylist())), names=names)
+            trimmed()
 
     def cut(batches):
         for b in batches:
@@ -244,15 +252,15 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             whole_ = [a + b for a, b in zip(data[::2], data[1::2])]
             ids = [codec(model.value).join(d, len(a), x, y) for d, a, x, y in zip(whole_, data[::2], ids[::2], ids[1::2])]
             data = whole_
-        return pa.table([group["key"].slice(0, 1), _lists(ids)], names=["key", "ids"])
+        return pa.table(shown(group["key"].slice(0, 1).combine_chunks(), ids), names=names)
 
     is_long = F.length("text") > long
     # written once: the row numbers that hold a text's pieces together stay the same if a task runs again
     longs = written(rows.where(is_long), "op13-long").withColumn("row", F.monotonically_increasing_id())
     pieces = longs.mapInArrow(cut, f"key {kind}, row long, piece int, text string").repartition("row", "piece")
     joined = (pieces.mapInArrow(leaves, f"key {kind}, row long, piece int, text string, ids array<int>")
-              .groupBy("row").applyInArrow(tree, f"key {kind}, ids array<int>"))
-    out = rows.where(~is_long).mapInArrow(whole, f"key {kind}, ids array<int>").unionByName(joined)
+              .groupBy("row").applyInArrow(tree, schema))
+    out = rows.where(~is_long).mapInArrow(whole, schema).unionByName(joined)
     return out.withColumnRenamed("key", key)
 
 
@@ -276,7 +284,7 @@ def op13_bpe_tree(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     if path is None:
         import public_tokenizers
         path = public_tokenizers.path("byte_bpe_50k.json")
-    back = decoded(encoded(table(spark, sf_dir, "documents", "doc_id", "text"), path), path)
+    back = encoded(table(spark, sf_dir, "documents", "doc_id", "text"), path, decode=True)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("text", 256).alias("decoded_sha256"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,14 @@ def total_bytes(docs: DataFrame, text: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0)
 
 
+def trimmed() -> None:
+    """Give freed memory back to the system: Python workers live on after a task, and an executor holds several."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def numbered(df: DataFrame, group: list[str], bucket: str, order: list, name: str,
              value: str | None = None) -> DataFrame:
     """Gapless number from 0 (or, with ``value``, the sum of that column over earlier rows) of each

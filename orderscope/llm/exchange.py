@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import total_bytes
+from .common import total_bytes, trimmed
 from .words import U
 
 CHUNK_TEXT = 6 << 20
@@ -88,19 +88,27 @@ def rows(part, chunk, bodies) -> pa.Table:
 
 
 def asked(docs: DataFrame, ask) -> DataFrame:
-    return docs.groupBy("chunk").applyInArrow(ask, ROWS)
+    def run(table: pa.Table) -> pa.Table:
+        out = ask(table)
+        trimmed()
+        return out
+    return docs.groupBy("chunk").applyInArrow(run, ROWS)
 
 
 def served(questions: DataFrame, serve) -> DataFrame:
     """``serve`` maps the list of bodies sent to a part to the list of answers."""
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
-        return rows(table["part"][0].as_py(), table["chunk"].to_numpy(), serve(table["body"].to_pylist()))
+        out = rows(table["part"][0].as_py(), table["chunk"].to_numpy(), serve(table["body"].to_pylist()))
+        trimmed()
+        return out
     return questions.groupBy("part").applyInArrow(run, ROWS)
 
 
 def answered(docs: DataFrame, answers: DataFrame, use, schema) -> DataFrame:
     """``use(chunk table, {part: body})`` for every chunk."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return use(left, dict(zip(right["part"].to_pylist(), right["body"].to_pylist())))
+        out = use(left, dict(zip(right["part"].to_pylist(), right["body"].to_pylist())))
+        trimmed()
+        return out
     return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)

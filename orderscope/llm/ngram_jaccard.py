@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, trimmed, written
 from .exchange import answered, asked, by_doc, dealt, parted, rows, served
 from .words import U, chunks, inside_docs, join_hash, mix, ngram_hashes
 
@@ -212,6 +212,7 @@ def tiled(index: DataFrame, sets: DataFrame, tile_rows: int) -> DataFrame:
         for lo, hi in zip(first, [*first[1:], len(left)]):  # tile by tile
             mine[lo:hi] = ~have_common(lesser, left[lo:hi], right[lo:hi])
         left, right = left[mine], right[mine]
+        trimmed()
         return pa.table({"a": np.minimum(cls[left], cls[right]), "b": np.maximum(cls[left], cls[right])})
 
     return rows.groupBy(F.pmod("tile", F.lit(tile_rows // CALL_ROWS + 1)).alias("call")).applyInArrow(run, "a long, b long")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import table, trimmed, written
 from .words import U, Words, chunks, inside_docs, ngram_hashes
 
 #: Rows of labels used to fit, by smallest hash of their id (a documented bound; scoring covers all rows).
@@ -206,6 +206,20 @@ def scored(stats: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> Da
     return stats.select(*keep, "stats").mapInArrow(run, schema)
 
 
+def judged(docs: DataFrame, forest: Forest, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """All columns of ``docs``, ``score`` and ``predicted``: statistics and trees in one pass over the texts."""
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            x = [document_statistics(w) for _, _, w in chunks(batch.column(names.index(text)))]
+            s = forest.score(np.concatenate(x) if x else np.zeros((0, len(FEATURES)), np.float32))
+            trimmed()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+
+
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, name: str = "op10") -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``."""
     stats = written(statistics(docs.select("doc_id", "text")), f"{name}-stats")

@@ -19,6 +19,7 @@ BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 CHUNK_BYTES = 4 << 20  # texts handled at a time; bounds the working memory of a task
 
 _LANE = U(0x9E3779B97F4A7C15)
+_MANY = 256
 _LAST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of a lane's first k bytes
 
 
@@ -76,11 +77,22 @@ class Words:
             return np.zeros(0, np.uint64)
         padded = np.r_[self.data, np.zeros(8, np.uint8)]
         lanes = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from every place on
+        other = U(salt * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF)
+
+        def lane(body, place):
+            return mix(body + (U(2) * np.atleast_1d(np.asarray(place, np.uint64)) + U(1)) * _LANE ^ other)
+
         total = np.zeros(len(length), np.uint64)
-        word, place = np.arange(len(length)), 0
+        long = np.flatnonzero(length > 8 * _MANY)
+        for w in long:  # a word of very many lanes at once
+            place = np.arange(-(-int(length[w]) // 8))
+            body = lanes[self.start[w] + 8 * place]
+            body[-1] &= _LAST[int(length[w]) - 8 * int(place[-1])]
+            total[w] = lane(body, place).sum(dtype=np.uint64)
+        word, place = np.flatnonzero(length <= 8 * _MANY) if len(long) else np.arange(len(length)), 0
         while len(word):  # lane by lane of the words that are so long
             body = lanes[self.start[word] + 8 * place] & _LAST[np.minimum(length[word] - 8 * place, 8)]
-            total[word] += mix(body + U((place * 2 + 1) * int(_LANE) & 0xFFFFFFFFFFFFFFFF) ^ U(salt * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF))
+            total[word] += lane(body, place)
             place += 1
             word = word[length[word] > 8 * place]
         return mix(total + length.astype(np.uint64) * _LANE)

@@ -76,6 +76,9 @@ def test_encoded_and_decoded(spark, rows):
     got = bpe_tree.decoded(ids, PATH, key="key").select(
         "key", F.size("ids"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256), F.sha2("text", 256)).collect()
     C.same(got, digests(rows))
+    both = bpe_tree.encoded(docs, PATH, key="key", text="body", long=400, leaf=130, decode=True).select(
+        "key", F.size("ids"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256), F.sha2("text", 256)).collect()
+    C.same(both, digests(rows))
 
 
 def test_query(spark, tmp_path):
