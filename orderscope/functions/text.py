@@ -24,8 +24,8 @@ def _c(x) -> Column:
 
 
 def norm_whitespace(x) -> Column:
-    """Collapse any Unicode whitespace run to one space, then trim."""
-    return F.trim(F.regexp_replace(_c(x), r"(?U)\s+", " "))
+    """Collapse any Unicode whitespace run (the separators U+001C to U+001F count) to one space, then trim."""
+    return F.trim(F.regexp_replace(_c(x), r"(?U)[\s\x1C-\x1F]+", " "))
 
 
 def _strip_patterns(col: Column, patterns) -> Column:
@@ -130,8 +130,8 @@ def clean_text(x) -> Column:
 
 
 def tokenize(x) -> Column:
-    """``\\w+`` tokens of the lower-cased text (Unicode word characters)."""
-    return F.regexp_extract_all(F.lower(_c(x)), F.lit(r"(?U)(\w+)"), 1)
+    """Runs of letters, numbers (² and ½ are some) and underscores of the lower-cased text; marks part words."""
+    return F.regexp_extract_all(F.lower(_c(x)), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
 def combine_text(cols: list, available: list[str] | None = None) -> Column:

@@ -21,7 +21,7 @@ the rank, only values inside the bracket are ordered).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -364,15 +364,12 @@ def _top_values_sql() -> str:
 
 @question("top_values", _top_values_sql())
 def top_values(p):
-    """Most frequent values per column (NULL dropped, stringified); one top-k per column."""
-    out = None
-    for col, n in _TOP_VALUE_COLUMNS:
-        t = (p.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("value"))
-              .agg(n_rows().alias("total_orders"))
-              .orderBy(F.col("total_orders").desc(), F.col("value").asc()).limit(n)
-              .select(F.lit(col).alias("column_name"), "value", "total_orders"))
-        out = t if out is None else out.unionByName(t)
-    return out
+    """Most frequent values per column (NULL dropped, stringified): one scan, one count, then each column's first."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"), F.lit(n).alias("n")) for c, n in _TOP_VALUE_COLUMNS]))
+    counted = (p.select(pairs.alias("p")).select("p.*").where(F.col("value").isNotNull())
+               .groupBy("column_name", "n", "value").agg(n_rows().alias("total_orders")))
+    w = Window.partitionBy("column_name").orderBy(F.col("total_orders").desc(), F.col("value").asc())
+    return counted.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("n")).select("column_name", "value", "total_orders")
 
 
 @question("share_over_5k", """

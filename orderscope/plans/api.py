@@ -24,7 +24,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import config as C
-from ..functions import text as TX
 from ..operators import bm25 as B
 from ..operators import enrich as EN
 from ..operators import filters as FL
@@ -56,9 +55,7 @@ class Engine:
 
     # -- vectors ---------------------------------------------------------------
     def _text_vector(self, text: str):
-        q = TX.with_normalized_text(self.spark.createDataFrame([(text,)], "q string"), "q", "qn")
-        rows, _, _ = EN.embed_job(q, "qn", EN.empty_cache(self.spark), dim=self.dim, model=self.embedder)
-        return VS.query_vector(rows, "embedding")
+        return VS.query_vector(EN.text_vector(self.spark, text, self.dim, self.embedder), "embedding")
 
     def semantic_search(self, query_text: str | None = None, order_code: str | None = None,
                         top_k: int = C.SEMANTIC_TOP_K, **filters) -> DataFrame:

@@ -239,14 +239,14 @@ WHERE contains(lower(concat_ws(' ', vendor, order_summary)), lower(nm))""", with
 
 
 def semantic_text_search(s, sf, query: str = "Machinery URGENT", top_k: int = C.DEFAULT_TOP_K, dim: int = 1999):
-    """R8 + R10 by text: summaries embedded by the embedding job (offline model), the query text
-    normalised and embedded by the same model, cosine top-k over the orders."""
-    ov = X._orders_vec(s, sf).select("record_id", "order_code", "vendor", "order_summary")
-    docs = TX.with_normalized_text(ov, "order_summary", "summary_normalized")
-    rows, _, _ = EN.embed_job(docs, "summary_normalized", EN.empty_cache(s), dim=dim)
-    q = TX.with_normalized_text(s.createDataFrame([(query,)], "q string"), "q", "qn")
-    qrows, _, _ = EN.embed_job(q, "qn", EN.empty_cache(s), dim=dim)
-    qv = VS.query_vector(qrows, "embedding")
+    """R8 + R10 by text: summaries embedded by the embedding job (offline model), stored once per input version; the
+    query text normalised and embedded by the same model, cosine top-k over the orders."""
+    def vectors():
+        ov = X._orders_vec(s, sf).select("record_id", "order_code", "vendor", "order_summary")
+        rows, _, _ = EN.embed_job(TX.with_normalized_text(ov, "order_summary", "summary_normalized"), "summary_normalized", EN.empty_cache(s), dim=dim)
+        return rows
+    rows = materialize(s, f"order_text_vectors_{dim}", [T.path(sf, t) for t in ("embeddings", "orders", "customer", "nation", "region")], vectors)
+    qv = VS.query_vector(EN.text_vector(s, query, dim), "embedding")
     hits = VS.topk(VS.score(rows, "embedding", qv), "_sim", "record_id", top_k)
     return hits.select("record_id", "order_code", "vendor", "order_summary",
                        F.round(F.greatest(F.lit(0.0), F.col("_sim")), 6).alias("similarity"))

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from .. import config as C
 
-# Java (?U)\s = Unicode White_Space
-WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-WORD = r"[\p{L}\p{M}\p{N}_]+"
+# Unicode White_Space and the separators 1C to 1F
+WS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WORD = r"[\p{L}\p{N}_]+"
 
 
 def q(s: str) -> str:

@@ -93,19 +93,41 @@ def plan_nodes(plan):
                 yield from plan_nodes(child)
 
 
-def outer_limit(plan) -> int | None:
-    """The constant LIMIT of the whole statement; limits of inner queries and literals do not count."""
+def tables_of(plan, bound: frozenset = frozenset()):
+    """Names (as lists of parts, lower case) of the relations that a parsed plan reads; a name that a common table
+    expression in scope gives is none of them."""
+    if plan.nodeName() == "UnresolvedWith":
+        for r in _scala(plan.cteRelations()):
+            yield from tables_of(r._2(), bound)
+            bound = bound | {r._1().lower()}
+        yield from tables_of(plan.child(), bound)
+        return
+    if plan.nodeName() == "UnresolvedRelation":
+        parts = [x.lower() for x in _scala(plan.multipartIdentifier())]
+        if len(parts) != 1 or parts[0] not in bound:
+            yield parts
+    for more in (plan.children(), plan.innerChildren(), plan.subqueries()):
+        for child in _scala(more):
+            if hasattr(child, "nodeName"):
+                yield from tables_of(child, bound)
+
+
+def outer_limit(plan, params: dict | None = None) -> int | None:
+    """The LIMIT of the whole statement, a constant or a parameter; limits of inner queries and literals do not count."""
     while plan.nodeName() == "UnresolvedWith":
         plan = plan.child()
     if plan.nodeName() != "GlobalLimit":
         return None
-    limit = plan.limitExpr().toString()
-    return int(limit) if limit.isdigit() else None
+    limit = plan.limitExpr()
+    if limit.nodeName() == "NamedParameter":
+        given = (params or {}).get(limit.name())
+        return int(given) if isinstance(given, int) and not isinstance(given, bool) and given >= 0 else None
+    return int(limit.toString()) if limit.toString().isdigit() else None
 
 
-def limit_policy(plan, default_limit: int, max_limit: int) -> tuple[list[str], int]:
+def limit_policy(plan, default_limit: int, max_limit: int, params: dict | None = None) -> tuple[list[str], int]:
     """(warnings, row bound put around the statement). The text itself is never changed."""
-    asked = outer_limit(plan)
+    asked = outer_limit(plan, params)
     if asked is None:
         return [f"Added default LIMIT {default_limit}"], default_limit
     if asked > max_limit:
@@ -161,31 +183,26 @@ class SqlGuard:
         for fn in _REFLECT:
             if re.search(rf"'{fn}\(", parsed, re.IGNORECASE):
                 raise ValueError(f"Function {fn} is not allowed.")
-        ctes, names = set(), []
-        for node in plan_nodes(plan):
-            if node.nodeName() == "UnresolvedWith":
-                ctes |= {r._1().lower() for r in _scala(node.cteRelations())}
-            elif node.nodeName() == "UnresolvedRelation":
-                names.append([x.lower() for x in _scala(node.multipartIdentifier())])
-        bad = {".".join(n) for n in names if len(n) != 1 or n[0] not in self.allowed | ctes}
+        names = list(tables_of(plan))
+        bad = {".".join(n) for n in names if len(n) != 1 or n[0] not in self.allowed}
         if bad:
             raise ValueError(f"Query references tables outside allowlist: {sorted(bad)}")
         if "AnalysisException" in analyzed:
             raise ValueError(f"Query rejected: {analyzed.strip().splitlines()[0][:300]}")
         if re.search(r"SubqueryAlias spark_catalog\.", analyzed):
             raise ValueError("Query references a catalog table outside the allowlist.")
-        return {n[0] for n in names if n[0] in self.allowed}
+        return {n[0] for n in names}
 
     # -- entry points ---------------------------------------------------------
-    def enforce(self, sql: str, limit: int | None = None) -> tuple[str, list[str], int]:
+    def enforce(self, sql: str, limit: int | None = None, params: dict[str, Any] | None = None) -> tuple[str, list[str], int]:
         """H1: the statement, warnings and its row bound."""
         cleaned, plan = self._parsed(sql)
-        return cleaned, *limit_policy(plan, min(limit or self.default_limit, self.max_limit), self.max_limit)
+        return cleaned, *limit_policy(plan, min(limit or self.default_limit, self.max_limit), self.max_limit, params)
 
     def run(self, sql: str, params: dict[str, Any] | None = None, limit: int | None = None,
             dataset: str | None = None) -> QueryResult:
         """H2 (+H3 when ``dataset`` is given: the parsed plan must read that table)."""
-        cleaned, warnings, outer = self.enforce(sql, limit)
+        cleaned, warnings, outer = self.enforce(sql, limit, params)
         wrapped = f"SELECT * FROM (\n{cleaned}\n) LIMIT {outer}"
         read = self._plan_check(wrapped, self._parsed(sql)[1], params)
         if dataset and dataset.lower() not in read:

@@ -143,3 +143,31 @@ def test_na_to_null_after_pandas_roundtrip(spark, orders):
     fixed = na_to_null(nan_df)
     assert fixed.where(F.col("amount") >= 500).count() == 2
     assert fixed.where(F.col("amount").isNull()).count() == 1
+
+
+@pytest.mark.parametrize("n, rows", [(3, 3), (400, 400), (9999, 500)])
+def test_limit_given_as_a_parameter(spark, n, rows):
+    g = SqlGuard(spark, {"orders": lambda s: spark.range(2000).withColumnRenamed("id", "x")})
+    assert g.run("SELECT x FROM orders LIMIT :n", params={"n": n}).df.count() == rows
+    assert g.run("WITH o AS (SELECT x FROM orders LIMIT 5) SELECT * FROM o LIMIT :n", params={"n": n}).df.count() == min(5, rows)
+
+
+def test_scope_is_not_met_by_a_name_alone(spark):
+    g = SqlGuard(spark, {"orders": lambda s: spark.range(3).withColumnRenamed("id", "x"), "commesse": lambda s: spark.range(3).withColumnRenamed("id", "y")})
+    for sql in ("WITH orders AS (SELECT 1 AS x) SELECT * FROM orders", "WITH orders AS (SELECT y AS x FROM commesse) SELECT * FROM (SELECT * FROM orders) t",
+                "SELECT * FROM commesse WHERE y IN (WITH orders AS (SELECT 1 AS x) SELECT x FROM orders)"):
+        with pytest.raises(ValueError, match="must target"):
+            g.run(sql, dataset="orders")
+    assert g.run("WITH o AS (SELECT x FROM orders), orders AS (SELECT x FROM o) SELECT * FROM orders", dataset="orders").df.count() == 3
+    assert g.run("SELECT * FROM commesse WHERE y IN (SELECT x FROM orders)", dataset="orders").df.count() == 3
+    with pytest.raises(ValueError, match="outside allowlist"):
+        g.run("SELECT * FROM (WITH z AS (SELECT 1 AS x) SELECT * FROM z) a, z")
+
+
+def test_python_word_and_blank_classes(spark):
+    import re
+    from orderscope.functions import text as TX
+    texts = ["m² and ½ cup", "क्षि हिन्दी", "a\x1cb\x1d\x1e c\x1f", "naïve_word Ⅷ x​y", "á b", "  x\x85y　z "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", "t", TX.tokenize("t").alias("w"), TX.norm_whitespace("t").alias("s")).collect():
+        assert r["w"] == re.findall(r"\w+", r["t"].lower()) and r["s"] == re.sub(r"\s+", " ", r["t"]).strip()
