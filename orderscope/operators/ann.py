@@ -1,174 +1,38 @@
-"""Many-query vector search (R9), the IVF index (R13) and 2-D projection.
-
-Batch exact top-k: the query block (bounded by the batch size, checked)
-is broadcast once; every corpus partition scores it with one NumPy matrix
-product per Arrow batch inside ``mapInPandas`` and keeps a running top-k
-per query, so a partition emits at most ``#queries · k`` rows. The final
-cut per query is the salted two-phase top-k of ``operators.topk``.
-
-IVF: ``pyspark.ml`` KMeans (cosine) over the whole corpus assigns each
-vector a list id; the corpus is written partitioned by list id in the
-shared folder. A search probes the ``nprobe`` nearest lists of each query
-(queries × centroids, both bounded), joins the probe table to the corpus
-on the list id (an equi-join that prunes partitions) and scores only the
-vectors of the probed lists.
+"""Many-query search and the inverted file under their earlier names, recall, and the 2-D projection.
+
+The work is in ``vector_blocks``: exact search scores pairs of blocks without the driver, the index reads probed
+lists only.
 """
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ENGINE
 from ..session import shared_dir
-from .topk import topk_per_group
-
-
-#: Vectors of one broadcast block of queries, in bytes of float64.
-QUERY_BLOCK_BYTES = 32 << 20
-
+from . import vector_blocks as VB
 
-def _unit(mat: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(mat, axis=1, keepdims=True)
-    return mat / np.where(n == 0, 1.0, n)
 
+def batch_vector_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id",
+                      vec_col: str = "embedding", qid: str = "query_id", qvec: str = "embedding") -> DataFrame:
+    """R9 (vector part): exact cosine top-k for every query; (query_id, id, score, rank)."""
+    return VB.block_pair_topk(corpus, queries, k, id_col, vec_col, qid, qvec)
 
-def _query_block(queries: DataFrame, qid: str, qvec: str) -> tuple[np.ndarray, np.ndarray]:
-    rows = queries.select(qid, F.col(qvec).cast("array<double>").alias("v")).collect()
-    ids = np.array([r[0] for r in rows], dtype=np.int64)
-    mat = _unit(np.array([r[1] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 0))
-    return ids, mat
 
+def ivf_build(corpus: DataFrame, nlist: int, id_col: str = "doc_id", vec_col: str = "embedding",
+              seed: int = 1) -> tuple[VB.InvertedFile, np.ndarray]:
+    index = VB.build(corpus, nlist, id_col, vec_col, seed)
+    return index, index.centroids
 
-def batch_vector_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id",
-                      vec_col: str = "embedding", qid: str = "query_id", qvec: str = "embedding",
-                      salt_buckets: int = 16) -> DataFrame:
-    """R9 (vector part): exact cosine top-k for every query; (query_id, id, score, rank).
-
-    Queries are broadcast in flat blocks of about ``QUERY_BLOCK_BYTES`` of vectors, one pass over the
-    corpus each, unioned."""
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("dim")).first()
-    blocks = int(size["n"] * (size["dim"] or 0) * 8 // QUERY_BLOCK_BYTES) + 1
-    parts = [_topk_of_block(corpus, queries.where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b), k, id_col, vec_col, qid, qvec, salt_buckets)
-             for b in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _topk_of_block(corpus, queries, k, id_col, vec_col, qid, qvec, salt_buckets) -> DataFrame:
-    spark = corpus.sparkSession
-    qids, qmat = _query_block(queries, qid, qvec)
-    bq = spark.sparkContext.broadcast((qids, qmat))
-
-    def score(batches):
-        q_ids, q = bq.value
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for pdf in batches:
-            if len(pdf) == 0 or len(q_ids) == 0:
-                continue
-            d = _unit(np.stack(pdf[vec_col].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()))
-            ids = pdf[id_col].to_numpy()
-            s = q @ d.T
-            for i in range(len(q_ids)):
-                cs, ci = s[i], ids
-                if i in best:
-                    cs = np.concatenate([best[i][0], cs])
-                    ci = np.concatenate([best[i][1], ci])
-                if len(cs) > k:
-                    # order by (score rounded to 9 digits desc, id asc); keep k
-                    order = np.lexsort((ci, -np.round(cs, 9)))[:k]
-                    cs, ci = cs[order], ci[order]
-                best[i] = (cs, ci)
-        if best:
-            yield pd.DataFrame({
-                qid: np.concatenate([np.full(len(v[0]), q_ids[i]) for i, v in best.items()]),
-                id_col: np.concatenate([v[1] for v in best.values()]),
-                "score": np.concatenate([v[0] for v in best.values()]),
-            })
-
-    schema = f"{qid} long, {id_col} long, score double"
-    cand = corpus.select(id_col, vec_col).mapInPandas(score, schema)
-    return topk_per_group(cand, [qid], "score", id_col, k, salt_buckets)
-
-
-# --------------------------------------------------------------------------- IVF
 
-def ivf_build(corpus: DataFrame, nlist: int, id_col: str = "doc_id", vec_col: str = "embedding",
-              seed: int = 1, max_iter: int = 20) -> tuple[DataFrame, np.ndarray]:
-    """Train cosine KMeans on the whole corpus, write vectors partitioned by list id."""
-    spark = corpus.sparkSession
-    feats = corpus.select(id_col, vec_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_f"))
-    model = KMeans(k=nlist, featuresCol="_f", predictionCol="list_id", distanceMeasure="cosine",
-                   seed=seed, maxIter=max_iter).fit(feats)
-    assigned = model.transform(feats).select(id_col, vec_col, F.col("list_id").cast("int"))
-    path = shared_dir(spark, "ivf", uuid.uuid4().hex)
-    assigned.write.partitionBy("list_id").parquet(path)
-    centroids = _unit(np.array([c for c in model.clusterCenters()], dtype=np.float64))
-    return spark.read.parquet(path), centroids
-
-
-def ivf_probe(queries: DataFrame, centroids: np.ndarray, nprobe: int, qid: str = "query_id",
-              qvec: str = "embedding") -> DataFrame:
-    """(query_id, list_id) for the nprobe lists nearest to each query (centroids broadcast, bounded)."""
-    spark = queries.sparkSession
-    bc = spark.sparkContext.broadcast(centroids)
-
-    def probe(batches):
-        c = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            q = _unit(np.stack(pdf[qvec].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()))
-            s = q @ c.T
-            top = np.argsort(-s, axis=1, kind="stable")[:, :nprobe]
-            yield pd.DataFrame({qid: np.repeat(pdf[qid].to_numpy(), top.shape[1]),
-                                "list_id": top.reshape(-1).astype(np.int32)})
-    return queries.select(qid, qvec).mapInPandas(probe, f"{qid} long, list_id int")
-
-
-def ivf_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, nprobe: int,
-               id_col: str = "doc_id", vec_col: str = "embedding", qid: str = "query_id",
-               qvec: str = "embedding", sub_buckets: int = 8) -> DataFrame:
-    """Exact scoring inside the probed lists.
-
-    Work unit = (list, sub-bucket): the vectors of a list are split by a hash
-    of their id into ``sub_buckets`` parts and the probe rows are replicated
-    per part, so even a list holding a third of the corpus is scored by many
-    tasks. Each group is one NumPy matrix product; it emits at most k rows
-    per query, and the final cut per query is over ≤ nprobe·sub_buckets·k rows.
-    """
-    probes = ivf_probe(queries, centroids, nprobe, qid, qvec)
-    q = (probes.join(queries.select(qid, F.col(qvec).cast("array<double>").alias("_q")), qid)
-               .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.lit(sub_buckets - 1)))))
-    d = index.select("list_id", id_col, F.col(vec_col).cast("array<double>").alias("_d"),
-                     F.pmod(F.xxhash64(id_col), F.lit(sub_buckets)).cast("int").alias("_sub"))
-
-    def score(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(dpdf) == 0:
-            return pd.DataFrame({qid: [], id_col: [], "score": []})
-        qm = _unit(np.stack(qpdf["_q"].map(np.asarray).to_numpy()))
-        dm = _unit(np.stack(dpdf["_d"].map(np.asarray).to_numpy()))
-        ids = dpdf[id_col].to_numpy()
-        s = qm @ dm.T
-        kk = min(k, len(ids))
-        out_q, out_d, out_s = [], [], []
-        for i, qi in enumerate(qpdf[qid].to_numpy()):
-            order = np.lexsort((ids, -np.round(s[i], 9)))[:kk]
-            out_q.append(np.full(kk, qi))
-            out_d.append(ids[order])
-            out_s.append(s[i][order])
-        return pd.DataFrame({qid: np.concatenate(out_q), id_col: np.concatenate(out_d), "score": np.concatenate(out_s)})
-
-    cand = (q.groupBy("list_id", "_sub").cogroup(d.groupBy("list_id", "_sub"))
-             .applyInPandas(score, f"{qid} long, {id_col} long, score double"))
-    return topk_per_group(cand, [qid], "score", id_col, k)
+def ivf_search(index: VB.InvertedFile, centroids: np.ndarray, queries: DataFrame, k: int, nprobe: int,
+               qid: str = "query_id", qvec: str = "embedding") -> DataFrame:
+    return VB.search(index, queries, k, nprobe, qid, qvec)
 
 
 def materialize_once(df: DataFrame) -> DataFrame:
