@@ -5,6 +5,9 @@ cumulative shares of the sources' slots, names the slot's source. The r-th slot
 source's r-th block of ``MIN_BLOCK`` words, and starts over after the last. Blocks cut each source's
 documents, in an order shuffled by a hash, into equal runs of words; their length does not depend on
 the size of the table, the number of slots grows with it. A source is read at most ``max_epochs`` times.
+The slots are the order of the mix: a document's ``first_slot`` is the one that reads its first words, and
+``n_slots`` read any of it, so that every stretch of the mix holds every source by its share, up to a
+few slots (the points' discrepancy grows with the logarithm of the stretch).
 
 Every source, however small, takes its target rounded to whole words: its last slot ends at the target,
 slots after that are not filled, and the few slots that the points leave out come after all others.
@@ -30,6 +33,7 @@ MAX_EPOCHS = 2
 MIN_BLOCK = 16
 PHI = (5 ** 0.5 - 1) / 2
 ROWS_PER_BUCKET = 50_000
+MADE = ("size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, epochs: int = MAX_EPOCHS) -> np.ndarray:
@@ -106,10 +110,12 @@ def schedule(spark: SparkSession, slots: np.ndarray, blocks: np.ndarray) -> Data
 
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
         key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """``docs`` without the text, with size, source_size, target and taken. ``key`` and the text's
-    digest make the shuffled order; equal rows are interchangeable."""
+    """``docs`` without the text, with size, source_size, target, taken, first_slot (null if nothing is taken) and n_slots.
+    ``key`` and the text's digest make the shuffled order; equal rows are interchangeable. Columns of these names in
+    ``docs`` are replaced."""
     spark = docs.sparkSession
     h = F.xxhash64(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))), F.lit(seed))
+    docs = docs.drop(*[c for c in MADE if c not in (key, source, text)])
     sized = written(docs.withColumn("size", word_count(text)).withColumn("__h", h).drop(text), "mix-sizes")
     per = sized.groupBy(source).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     per.sort(key=lambda r: (r[source] is None, r[source] or ""))
@@ -119,29 +125,34 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, s
     blocks, slots, ends = quotas(wanted, sizes, block)
     buckets = sum(r["n"] for r in per) // ROWS_PER_BUCKET + 1
 
-    places = T.StructType([T.StructField("__source", sized.schema[source].dataType), T.StructField("place", T.IntegerType()),
+    places = T.StructType([T.StructField("__source", sized.schema[source].dataType), T.StructField("__place", T.IntegerType()),
                            T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()),
                            T.StructField("__end", T.LongType())])
     known = spark.createDataFrame([(r[source], i, sizes[i], float(wanted[i]), int(ends[i])) for i, r in enumerate(per)], places)
     rows = (sized.join(known, F.col(source).eqNullSafe(F.col("__source"))).drop("__source")
             .withColumn("__bucket", F.floor((F.col("__h").cast("double") / 2.0 ** 64 + 0.5) * buckets).cast("long")))
-    rows = numbered(rows, ["place"], "__bucket", [F.col("__h"), F.col(key)], "__from", value="size")
+    rows = numbered(rows, ["__place"], "__bucket", [F.col("__h"), F.col(key)], "__from", value="size")
     rows = written(rows.drop("__bucket", "__h").withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
     # blocks that a document touches, each with the words of the document in it
-    touched = (rows.where("size > 0")
+    touched = (rows.where("size > 0").select("__row", F.col("__place").alias("place"), "__from", "size", "__end")
                .select("__row", "place", F.explode(F.sequence(F.expr(f"__from div {block}"), F.expr(f"(__from + size - 1) div {block}"))).alias("block"),
                        "__end", F.greatest(F.lit(0), F.expr(f"__from - block * {block}")).alias("__a"),
                        F.least(F.lit(block), F.expr(f"__from + size - block * {block}")).alias("__b")))
-    # the source's last slot stops after __end words of its block
+    # the source's last slot stops after __end words of its block: it reads nothing of what lies behind
+    times = schedule(spark, slots, blocks).groupBy("place", "block").agg(
+        F.count(F.lit(1)).alias("times"), F.max("last").alias("last"),
+        F.min(F.when(~F.col("last"), F.col("slot"))).alias("__whole"), F.min(F.when(F.col("last"), F.col("slot"))).alias("__cut"))
     cut = F.col("last") & (F.col("__end") > 0)
-    times = schedule(spark, slots, blocks).groupBy("place", "block").agg(F.count(F.lit(1)).alias("times"), F.max("last").alias("last"))
-    words = (F.expr("(__b - __a) * times")
-             - F.when(cut, F.expr("__b - greatest(__a, least(__b, __end))")).otherwise(0))
-    taken = touched.join(times, ["place", "block"]).groupBy("__row").agg(F.sum(words).alias("taken"))
+    unread = cut & (F.col("__a") >= F.col("__end"))
+    words = F.expr("(__b - __a) * times") - F.when(cut, F.expr("__b - greatest(__a, least(__b, __end))")).otherwise(0)
+    read = (touched.join(times, ["place", "block"])
+            .select("__row", words.alias("words"), (F.col("times") - unread.cast("int")).alias("reads"),
+                    F.least("__whole", F.when(~unread, F.col("__cut"))).alias("slot")))
+    taken = read.groupBy("__row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.sum("reads").alias("n_slots"))
     return (rows.join(taken, "__row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-            .drop("__row", "__from", "__end", "place"))
+            .withColumn("n_slots", F.coalesce("n_slots", F.lit(0)).cast("long")).drop("__row", "__from", "__end", "__place"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents", "doc_id", "source", "text")).select(
-        "doc_id", "size", "source_size", "target", "taken")
+        "doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
