@@ -37,6 +37,8 @@ TESTS_PER_ROW = 1024
 #: Rows of a token that make a block; a tile is a pair of blocks. Rows of tiles handled in one call, about.
 BLOCK = 1024
 CALL_ROWS = 8192
+#: Tasks that the classes of one component are dealt to.
+SALTS = 32
 #: Bits of all rows of a tile that are compared at once (8 MB).
 BITS_AT_ONCE = 1 << 26
 
@@ -301,8 +303,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     least = every.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"))
     numbers = sets.select("digest", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     classes = least.join(numbers.select("digest", "root"), "digest", "left")
-    names = classes.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("name"))
-    named = classes.join(names, "root", "left").select("digest", F.coalesce("name", "least").alias("component_id"))
+    # classes without a partner take no part in the join; those of one component, however many, are dealt by salt
+    linked_ = classes.where("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)))
+    names = linked_.groupBy("root").agg(F.min("least").alias("name")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    named = (linked_.join(names, ["root", "salt"]).select("digest", F.col("name").alias("component_id"))
+             .unionByName(classes.where("root IS NULL").select("digest", F.col("least").alias("component_id"))))
     with_words = every.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest").join(named, "digest")
     return (with_words.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
             .unionByName(every.where("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
