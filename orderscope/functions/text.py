@@ -165,6 +165,12 @@ def oggetto_filled(oggetto, nome, settore, committente) -> Column:
     return F.when(o != "", o).otherwise(norm_whitespace(F.concat_ws(" - ", *parts)))
 
 
+def first_filled(filled: str, parts: list[str]) -> Column:
+    """S9 over columns that ``clean_value`` has been through: the first column, or the non-blank parts joined."""
+    joined = F.concat_ws(" - ", *[F.when(F.col(p) != "", F.col(p)) for p in parts])
+    return F.when(F.col(filled) != "", F.col(filled)).otherwise(joined)
+
+
 def row_signature(cols: list[str]) -> Column:
     """Canonical JSON of the row with keys sorted (NULLs kept) and its SHA-256."""
     js = F.to_json(F.struct(*[F.col(c) for c in sorted(cols)]), {"ignoreNullFields": "false"})

@@ -29,7 +29,7 @@ from ..operators import enrich as EN
 from ..operators import filters as FL
 from ..operators import hybrid as H
 from ..operators import vector_search as VS
-from ..sources.schema import schema_catalog
+from ..sources.schema import combined_columns, described, schema_catalog
 from .sqlguard import QueryResult, SqlGuard
 
 
@@ -89,11 +89,16 @@ class Engine:
             raise ValueError("no retrieval corpus configured")
         k = FL.check_top_k(top_k, C.DEFAULT_TOP_K)
         qdf = self.spark.createDataFrame([(query,)], "text string")
-        return H.hybrid_search(self.corpus, B.query_terms(qdf), self._text_vector(query), k, alpha)
+        return H.hybrid_hits(self.corpus, B.query_terms(qdf), self._text_vector(query), k, alpha)
 
     # -- schema ----------------------------------------------------------------
+    def _tables(self) -> dict[str, DataFrame]:
+        return {"orders": self.orders} | ({"commesse": self.commesse} if self.commesse is not None else {})
+
     def list_schema(self) -> DataFrame:
-        tables = {"orders": self.orders}
-        if self.commesse is not None:
-            tables["commesse"] = self.commesse
-        return schema_catalog(self.spark, tables)
+        """Columns with their descriptions: those stored with the tables, else the known ones."""
+        return schema_catalog(self.spark, {name: df if any(f.metadata.get("comment") for f in df.schema.fields) else described(df, name) for name, df in self._tables().items()})
+
+    def columns(self) -> list[str]:
+        """The columns of all tables, each once, in order."""
+        return combined_columns(self._tables())

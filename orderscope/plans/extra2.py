@@ -3,6 +3,8 @@ sampling, value slots, serialization, ingest round trip, result comparator."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -21,6 +23,7 @@ from ..operators import vector_search as VS
 from ..session import materialize, shared_dir
 from ..sources import exports as EX
 from ..sources import fixtures as FX
+from ..sources import ingest as IN
 from ..sources import tables as T
 from . import extra as X
 from . import oracle_text as O
@@ -414,15 +417,10 @@ SELECT record_id, CAST(to_json({{{obj}}}) AS VARCHAR) AS payload FROM (
   ORDER BY round(sim, 9) DESC, record_id LIMIT 5)""", with_cte))
 
     def ingest_roundtrip(s, sf):
-        """A1/A3: export written as CSV with header (once per input fingerprint), read back as strings."""
-        inputs = [T.path(sf, t) for t in ("lineitem", "orders", "part", "supplier", "nation", "region")]
-        from ..session import _fingerprint
-        path = shared_dir(s, "exports", "orders_csv-" + _fingerprint(s, inputs))
-        ex = X._export(s, sf).drop(*KEYS[1:]).withColumn("l_orderkey", F.col("l_orderkey").cast("string"))
-        opts = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
-                "quoteAll": "false", "escape": '"'}
-        ex.write.mode("overwrite").options(**opts).csv(path)
-        back = s.read.options(**opts).option("inferSchema", "false").csv(path)
+        """A1/A3: export written as CSV with header, read back as strings through the checked reader."""
+        path = shared_dir(s, "exports", f"orders_csv-{uuid.uuid4().hex}")
+        IN.write_csv(X._export(s, sf).drop(*KEYS[1:]).withColumn("l_orderkey", F.col("l_orderkey").cast("string")), path)
+        back, _ = IN.read_checked(s, path)
         return back.select("l_orderkey", "ordine_n", "posiz_num", "data_ord", "tipologia", "fornitore", "regione",
                            "importo_ordine", "oggetto", "note")
     register("ingest_roundtrip", ingest_roundtrip, X._ctx_export("""

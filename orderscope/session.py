@@ -84,8 +84,12 @@ def _fingerprint(spark: SparkSession, paths: list[str]) -> str:
         fs = jpath.getFileSystem(hconf)
         h.update(p.encode())
         if fs.exists(jpath):
-            for st in fs.listStatus(jpath) if fs.getFileStatus(jpath).isDirectory() else [fs.getFileStatus(jpath)]:
-                h.update(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}".encode())
+            files, found = fs.listFiles(jpath, True), []  # folders of any depth
+            while files.hasNext():
+                st = files.next()
+                found.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
+            for line in sorted(found):
+                h.update(line.encode())
     return h.hexdigest()[:16]
 
 
@@ -112,9 +116,16 @@ def materialize(spark: SparkSession, name: str, inputs: list[str], build, *,
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(tmp)
-        if not fs.exists(target):
-            fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), target)
+        sibling, done = jvm.org.apache.hadoop.fs.Path(tmp), jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        try:
+            writer.parquet(tmp)
+            if fs.exists(target) and not fs.exists(done):  # left over from a build that did not end
+                fs.delete(target, True)
+            if not fs.exists(target):
+                fs.rename(sibling, target)
+        finally:
+            if fs.exists(sibling):
+                fs.delete(sibling, True)
     return spark.read.parquet(path)
 
 

@@ -12,11 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# Row-count bounds that hold by construction of the star schema (fixed
-# dimension tables); only these may be broadcast without a run-time check.
-FIXED_SIZE_TABLES = {"region": 5, "nation": 25}
-
-
 def path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
@@ -28,20 +23,6 @@ def load(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Temp views with the same names the SQL oracle uses."""
-    for n in names:
-        load(spark, sf_dir, n).createOrReplaceTempView(n)
-
-
-def rebalance(df: DataFrame) -> DataFrame:
-    """Spread an under-partitioned frame over the task slots (round-robin shuffle)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
-
-
 def load_balanced(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Read a table whose scan has fewer splits than task slots (e.g. one large row group of
     long texts) from a copy written once, spread over the slots, in the shared folder.
