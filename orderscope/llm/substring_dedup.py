@@ -99,21 +99,33 @@ class Chunk:
         order = np.lexsort((digest, ids.fill_null(LAST_ID).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)))
         self.table, self.digest = table.take(pa.array(order)).combine_chunks(), digest[order]
         self.texts = [w for _, _, w in chunks(self.table["text"])]
-        self.hashes, second = (np.concatenate([np.zeros(0, np.uint64), *[w.hashes(salt) for w in self.texts]]) for salt in (0, 1))
+        self.hashes = np.concatenate([np.zeros(0, np.uint64), *[w.hashes() for w in self.texts]])
         self.offsets = np.r_[0, np.cumsum(np.concatenate([w.counts for w in self.texts]))].astype(np.int64) if self.texts else np.zeros(1, np.int64)
         grams = ngram_hashes(self.hashes, WINDOW)
         self.starts = np.flatnonzero(inside_docs(self.offsets, WINDOW, len(self.hashes))[: len(grams)])
         self.grams = grams[self.starts]
-        self.checks = (ngram_hashes(second, WINDOW)[self.starts] >> U(32)).astype(np.uint32)
 
-    def asked_windows(self, shared: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of the windows to ask about (the first of each hash here), and of those known as repeated."""
+    def checks(self, windows: np.ndarray) -> np.ndarray:
+        """32 more bits of these windows, from other hashes of their words."""
+        out = np.zeros(len(windows), np.uint64)
+        if len(windows):
+            second = np.concatenate([w.hashes(1) for w in self.texts])
+            for j in range(WINDOW):
+                out *= U(0xD6E8FEB86659FD93)
+                out += second[self.starts[windows] + j]
+        return (mix(out) >> U(32)).astype(np.uint32)
+
+    def asked_windows(self, shared: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indices of the windows to ask about (the first of each pair of hashes here), their checks, and the indices of
+        those known as repeated."""
         maybe = np.flatnonzero(shared[which])
-        order = np.lexsort((maybe, self.checks[maybe], self.grams[maybe]))
-        gram, check = self.grams[maybe[order]], self.checks[maybe[order]]
+        checks = self.checks(maybe)
+        order = np.lexsort((checks, self.grams[maybe]))  # stable: the first of equal ones is the earliest
+        gram, check = self.grams[maybe[order]], checks[order]
         is_first = np.zeros(len(maybe), bool)
-        is_first[order[np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (check[1:] != check[:-1])])] if len(order) else order] = True
-        return maybe[is_first], maybe[~is_first]
+        if len(order):
+            is_first[order[np.r_[True, (gram[1:] != gram[:-1]) | (check[1:] != check[:-1])]]] = True
+        return maybe[is_first], checks[is_first], maybe[~is_first]
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -140,14 +152,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         if not table.num_rows or not answers:  # texts without windows ask nothing
             return rows(np.zeros(0, np.int32), 0, [])
         c = Chunk(table)
-        ask, _ = revealed(c, answers)
+        ask, checks, _ = revealed(c, answers)
         doc = np.searchsorted(c.offsets, c.starts[ask], "right") - 1
         ids = c.table["doc_id"].cast(pa.int64()).fill_null(LAST_ID).to_numpy()
         _, to, which = parted(c.grams[ask], parts)
         bodies = {part: packed(*[np.zeros(0, t) for t in QUESTION]) for part in answers}
         for part, w in zip(to.tolist(), which):
             d, n = np.unique(doc[w], return_counts=True)
-            bodies[part] = packed(ids[d], c.digest[d], n.astype(np.uint32), (c.starts[ask[w]] - c.offsets[doc[w]]).astype(np.uint32), c.grams[ask[w]], c.checks[ask[w]])
+            bodies[part] = packed(ids[d], c.digest[d], n.astype(np.uint32), (c.starts[ask[w]] - c.offsets[doc[w]]).astype(np.uint32), c.grams[ask[w]], checks[w])
         # which anchors are shared travels along, so that the last step need not ask again
         return rows(list(bodies), table["chunk"][0].as_py(),
                     [packed(np.frombuffer(answers.get(part, b""), np.uint8), np.frombuffer(b, np.uint8)) for part, b in bodies.items()])
@@ -168,7 +180,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     def cut(table: pa.Table, answers: dict) -> pa.Table:
         c = Chunk(table)
         both = {i: unpacked(b, np.uint8, np.uint8) for i, b in answers.items()}
-        ask, known = revealed(c, {i: b[0].tobytes() for i, b in both.items()})
+        ask, _, known = revealed(c, {i: b[0].tobytes() for i, b in both.items()})
         later = bits_of({i: b[1].tobytes() for i, b in both.items()}, c.grams[ask], parts)
         step = np.zeros(len(c.hashes) + 1, np.int64)
         for s in (c.starts[ask[later]], c.starts[known]):
