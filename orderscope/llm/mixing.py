@@ -139,15 +139,15 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, s
                        "__end", F.greatest(F.lit(0), F.expr(f"__from - block * {block}")).alias("__a"),
                        F.least(F.lit(block), F.expr(f"__from + size - block * {block}")).alias("__b")))
     # the source's last slot stops after __end words of its block: it reads nothing of what lies behind
+    # turns are numbered in the order of slots, so of several slots that read a block the first is not the source's last
     times = schedule(spark, slots, blocks).groupBy("place", "block").agg(
-        F.count(F.lit(1)).alias("times"), F.max("last").alias("last"),
-        F.min(F.when(~F.col("last"), F.col("slot"))).alias("__whole"), F.min(F.when(F.col("last"), F.col("slot"))).alias("__cut"))
+        F.count(F.lit(1)).cast("int").alias("times"), F.max("last").alias("last"), F.min("slot").alias("slot"))
     cut = F.col("last") & (F.col("__end") > 0)
     unread = cut & (F.col("__a") >= F.col("__end"))
     words = F.expr("(__b - __a) * times") - F.when(cut, F.expr("__b - greatest(__a, least(__b, __end))")).otherwise(0)
     read = (touched.join(times, ["place", "block"])
             .select("__row", words.alias("words"), (F.col("times") - unread.cast("int")).alias("reads"),
-                    F.least("__whole", F.when(~unread, F.col("__cut"))).alias("slot")))
+                    F.when(~(unread & (F.col("times") == 1)), F.col("slot")).alias("slot")))
     taken = read.groupBy("__row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.sum("reads").alias("n_slots"))
     return (rows.join(taken, "__row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
             .withColumn("n_slots", F.coalesce("n_slots", F.lit(0)).cast("long")).drop("__row", "__from", "__end", "__place"))
