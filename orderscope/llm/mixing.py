@@ -97,14 +97,15 @@ def schedule(spark: SparkSession, slots: np.ndarray, blocks: np.ndarray) -> Data
     short = np.maximum(slots - hit, 0)
     begin = total + np.cumsum(short) - short
     known = spark.createDataFrame(
-        [(i, int(slots[i]), int(blocks[i]), int(hit[i]), int(begin[i])) for i in range(len(slots)) if slots[i]],
-        "place int, __slots long, __blocks long, __hit long, __begin long")
+        [(i, int(slots[i]), int(blocks[i]), int(hit[i]), int(begin[i]), total / int(slots[i])) for i in range(len(slots)) if slots[i]],
+        "place int, __slots long, __blocks long, __hit long, __begin long, __ratio double")
     named = numbered(spark.range(total).mapInArrow(name, "slot long, place int, bucket long"), ["place"], "bucket", [F.col("slot")], "turn")
     # one row per source, made on the driver
     filled = named.drop("bucket").join(F.broadcast(known), "place").where("turn < __slots")
     late = (known.where("__hit < __slots").withColumn("turn", F.explode(F.expr("sequence(__hit, __slots - 1)")))
             .withColumn("slot", F.expr("__begin + turn - __hit")))
-    columns = ["slot", "place", "turn", F.expr("turn % __blocks").alias("block"), F.expr("turn = __slots - 1").alias("last")]
+    columns = ["slot", "place", "turn", F.expr("turn % __blocks").alias("block"), F.expr("turn = __slots - 1").alias("last"),
+               F.expr("slot - cast(floor(turn * __ratio) as bigint)").alias("delta")]
     return filled.select(*columns).unionByName(late.select(*columns))
 
 
@@ -141,13 +142,17 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, s
     # the source's last slot stops after __end words of its block: it reads nothing of what lies behind
     # turns are numbered in the order of slots, so of several slots that read a block the first is not the source's last
     times = schedule(spark, slots, blocks).groupBy("place", "block").agg(
-        F.count(F.lit(1)).cast("int").alias("times"), F.max("last").alias("last"), F.min("slot").alias("slot"))
+        F.count(F.lit(1)).cast("int").alias("times"), F.max("last").alias("last"),
+        F.max(F.when(F.col("turn") == F.col("block"), F.col("delta"))).alias("delta"))  # small: slots lie near turn x ratio
+    total = int(slots.sum())
+    ratios = spark.createDataFrame([(i, total / int(n)) for i, n in enumerate(slots) if n], "place int, __ratio double")  # one row per source
+    first = F.expr("delta + cast(floor(block * __ratio) as bigint)")
     cut = F.col("last") & (F.col("__end") > 0)
     unread = cut & (F.col("__a") >= F.col("__end"))
     words = F.expr("(__b - __a) * times") - F.when(cut, F.expr("__b - greatest(__a, least(__b, __end))")).otherwise(0)
-    read = (touched.join(times, ["place", "block"])
+    read = (touched.join(times, ["place", "block"]).join(F.broadcast(ratios), "place")
             .select("__row", words.alias("words"), (F.col("times") - unread.cast("int")).alias("reads"),
-                    F.when(~(unread & (F.col("times") == 1)), F.col("slot")).alias("slot")))
+                    F.when(~(unread & (F.col("times") == 1)), first).alias("slot")))
     taken = read.groupBy("__row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.sum("reads").alias("n_slots"))
     return (rows.join(taken, "__row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
             .withColumn("n_slots", F.coalesce("n_slots", F.lit(0)).cast("long")).drop("__row", "__from", "__end", "__place"))
