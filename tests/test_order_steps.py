@@ -86,3 +86,18 @@ def test_summaries_join_the_cache_once(spark):
     out = EN.summary_job(cur, old)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
     assert {(r["record_id"], r["order_summary"]) for r in out.collect()} == {(1, "cached"), (2, "c"), (3, "d")}
+
+
+def test_the_orders_job_leaves_no_steps_behind(spark, tmp_path):
+    from orderscope.plans import etl
+    ex = spark.createDataFrame([("1", "V", "red widget", "10.00", "2020-01-01"), ("2", None, "blue bolt", "x", None), ("3", "W", "  ", "1", None)],
+                               "ordine_n string, fornitore string, oggetto string, importo_ordine string, data_ord string")
+
+    def steps():
+        return {f"{d}/{f}" for d in ("steps", "ranked", "embed-new") for p in [shared_dir(spark, d).replace("file:", "")] if os.path.isdir(p) for f in os.listdir(p)}
+    before = steps()
+    runs = [etl.run_orders_etl(spark, str(tmp_path / "orders"), str(tmp_path / "vectors"), export=ex, order_by=["ordine_n"], summaries=str(tmp_path / "summaries"), dim=8) for _ in range(2)]
+    assert steps() == before
+    assert [r.counts["vectors_made"] for r in runs] == [2, 0] and runs[1].version == 2
+    from orderscope.sources.versioned import VersionedTable
+    assert {(r["record_id"], r["order_summary"]) for r in VersionedTable(spark, str(tmp_path / "orders"), "record_id").read().collect()} == {(0, "red widget"), (1, "blue bolt")}
