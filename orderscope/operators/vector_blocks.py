@@ -35,6 +35,8 @@ from .topk import topk_per_group
 QUERY_BLOCK, CORPUS_BLOCK = 16 << 20, 64 << 20
 #: Vectors scored against a block of queries at a time.
 SLICE = 4096
+#: Queries scored at a time.
+QUERY_SLICE = 1024
 #: Vectors that k-means is fitted on, at most.
 FIT_ROWS = 100_000
 
@@ -58,8 +60,13 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _topk(queries: pd.DataFrame, corpus: pd.DataFrame, k: int, qid: str, qvec: str, id_col: str, vec_col: str) -> pd.DataFrame:
+    """Each query's k best; at most QUERY_SLICE x SLICE scores at a time, however many queries there are."""
     if not len(queries) or not len(corpus):
         return pd.DataFrame({qid: np.zeros(0, np.int64), id_col: np.zeros(0, np.int64), "score": np.zeros(0)})
+    return pd.concat([_topk_slice(queries.iloc[lo: lo + QUERY_SLICE], corpus, k, qid, qvec, id_col, vec_col) for lo in range(0, len(queries), QUERY_SLICE)], ignore_index=True)
+
+
+def _topk_slice(queries: pd.DataFrame, corpus: pd.DataFrame, k: int, qid: str, qvec: str, id_col: str, vec_col: str) -> pd.DataFrame:
     q, found = _matrix(queries[qvec]), [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
     for lo in range(0, len(corpus), SLICE):
         part = corpus.iloc[lo: lo + SLICE]
@@ -150,19 +157,23 @@ def search(index: InvertedFile, queries: DataFrame, k: int, nprobe: int, qid: st
 
     q = queries.select(qid, F.col(qvec).cast("array<double>").alias("__q")).where(F.col("__q").isNotNull())
     probes = written_once(q.mapInPandas(probe, f"{qid} long, __q array<double>, list_id int"), "ivf-probes")
-    lists = sorted(r[0] for r in probes.select("list_id").distinct().collect())  # at most as many as there are lists
+    asked = {r["list_id"]: r["count"] for r in probes.groupBy("list_id").count().collect()}  # at most as many as there are lists
+    lists = sorted(asked)
+    # queries of a list are dealt into blocks of about QUERY_BLOCK bytes
+    blocks = max(asked.values(), default=0) * (_bytes(probes, "__q") // max(1, sum(asked.values()))) // QUERY_BLOCK + 1
     cut = {i: -(-index.sizes.get(i, 0) // split_rows) for i in lists}
     pieces = F.coalesce(F.create_map(*[F.lit(x) for i in lists for x in (i, max(1, cut[i]))])[F.col("list_id")], F.lit(1)) if lists else F.lit(1)
     vectors = index.vectors.where(F.col("list_id").isin(lists))
     if where is not None:
         vectors = vectors.where(where)
-    d = vectors.select("list_id", index.id_col, F.col(index.vec_col).alias("__d"), F.pmod(F.xxhash64(index.id_col), pieces).cast("int").alias("__sub"))
-    p = probes.withColumn("__sub", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    d = vectors.select("list_id", index.id_col, F.col(index.vec_col).alias("__d"), F.pmod(F.xxhash64(index.id_col), pieces).cast("int").alias("__sub"),
+                       F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+    p = probes.withColumn("__sub", F.explode(F.sequence(F.lit(0), pieces - 1))).withColumn("__block", F.pmod(F.xxhash64(qid), F.lit(blocks)).cast("int"))
 
     def score(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
         return _topk(qs, ds, k, qid, "__q", id_col, "__d")
 
-    found = p.groupBy("list_id", "__sub").cogroup(d.groupBy("list_id", "__sub")).applyInPandas(score, f"{qid} long, {index.id_col} long, score double")
+    found = p.groupBy("list_id", "__sub", "__block").cogroup(d.groupBy("list_id", "__sub", "__block")).applyInPandas(score, f"{qid} long, {index.id_col} long, score double")
     return topk_per_group(found, [qid], "score", index.id_col, k)
 
 

@@ -101,3 +101,25 @@ def test_the_orders_job_leaves_no_steps_behind(spark, tmp_path):
     assert [r.counts["vectors_made"] for r in runs] == [2, 0] and runs[1].version == 2
     from orderscope.sources.versioned import VersionedTable
     assert {(r["record_id"], r["order_summary"]) for r in VersionedTable(spark, str(tmp_path / "orders"), "record_id").read().collect()} == {(0, "red widget"), (1, "blue bolt")}
+
+
+def test_scores_held_at_once_are_bounded(spark, monkeypatch):
+    """A list that very many queries probe is scored in slices and blocks of queries."""
+    import numpy as np
+    from orderscope.operators import vector_blocks as VB
+    seen, best = [], VB._best
+    monkeypatch.setattr(VB, "_best", lambda s, ids, k: seen.append(s.shape) or best(s, ids, k))
+    monkeypatch.setattr(VB, "QUERY_SLICE", 8)
+    r = np.random.default_rng(3)
+    import pandas as pd
+    q = pd.DataFrame({"q": range(50), "v": list(r.normal(size=(50, 4)))})
+    d = pd.DataFrame({"i": range(70), "w": list(r.normal(size=(70, 4)))})
+    got = VB._topk(q, d, 3, "q", "v", "i", "w")
+    assert max(s[0] for s in seen) <= 8 and len(got) == 150
+    exact = (VB._matrix(q["v"]) @ VB._matrix(d["w"]).T).argsort(1)[:, ::-1][:, :3]
+    assert got["i"].tolist() == exact.reshape(-1).tolist()
+    monkeypatch.setattr(VB, "QUERY_BLOCK", 64)
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in zip(q["q"], q["v"])], "query_id long, embedding array<double>")
+    ds = spark.createDataFrame([(i, v.tolist()) for i, v in zip(d["i"], d["w"])], "doc_id long, embedding array<double>")
+    hits = VB.search(VB.build(ds, 4), qs, 3, 4).orderBy("query_id", "rank").collect()
+    assert [h["doc_id"] for h in hits] == exact.reshape(-1).tolist()
