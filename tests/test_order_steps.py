@@ -123,3 +123,12 @@ def test_scores_held_at_once_are_bounded(spark, monkeypatch):
     ds = spark.createDataFrame([(i, v.tolist()) for i, v in zip(d["i"], d["w"])], "doc_id long, embedding array<double>")
     hits = VB.search(VB.build(ds, 4), qs, 3, 4).orderBy("query_id", "rank").collect()
     assert [h["doc_id"] for h in hits] == exact.reshape(-1).tolist()
+
+
+def test_current_state_reads_wanted_columns_only(spark, tmp_path):
+    from orderscope.streaming.incremental import current_state
+    spark.createDataFrame([(1, 1, "a", "long"), (1, 2, "b", "longer"), (2, 1, "c", "x")], "k long, seq long, v string, other string").write.parquet(str(tmp_path / "log"))
+    out = current_state(spark, str(tmp_path / "log"), ["k"], columns=["v"])
+    assert "other" not in plan(out)
+    assert {(r["k"], r["v"], r["seq"]) for r in out.collect()} == {(1, "b", 2), (2, "c", 1)}
+    assert set(current_state(spark, str(tmp_path / "log"), ["k"]).columns) == {"k", "seq", "v", "other"}
