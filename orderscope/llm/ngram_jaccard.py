@@ -7,8 +7,9 @@
 2. Equal sets are one class, known by a number. Classes that share a token meet first against a leader of the
    token, then, as far as they are still in different components, each other in tiles of a token and a size
    band (the larger is at most 4/3 of the smaller). Hashed bitmaps of the sets bound the overlap from above by
-   the bits they differ in, inside the tile. A pair belongs to the least token that both sets have, so it
-   becomes a row once, however many tokens the two share; those rows are intersected exactly as sorted arrays.
+   the bits they differ in, inside the tile. A pair belongs to the least token that both sets have. Pairs never become
+   rows: a tile's rows that are in some pair fetch their sets, are intersected exactly side by side, and of the links
+   only those that join two components are returned, fewer than the rows.
 3. Components grow from the links by star contraction, all in DataFrames.
 
 Leaders join large families of near copies without testing all pairs; pairs inside one component need
@@ -41,6 +42,8 @@ CALL_ROWS = 8192
 SALTS = 32
 #: Bits of all rows of a tile that are compared at once (8 MB).
 BITS_AT_ONCE = 1 << 26
+#: Bytes of sets that make a block of a tile's rows for the exact test (a larger set is a block), and that one call takes, about.
+SET_BYTES = 16 << 20
 
 
 def shingle_sets(texts, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -174,12 +177,14 @@ def have_common(lists: pa.ListArray, i: np.ndarray, j: np.ndarray) -> np.ndarray
     return common
 
 
-def tiled(index: DataFrame, sets: DataFrame, tile_rows: int) -> DataFrame:
-    """Pairs of classes with a common token and different roots whose bitmaps allow a link, each once.
+def met(index: DataFrame, sets: DataFrame, tile_rows: int) -> DataFrame:
+    """Rows of tiles that are in a pair of classes with a common token and different roots whose bitmaps allow a link,
+    with the later rows of these pairs as bits; every pair in one tile.
 
     A row stands in its own size band and, as the smaller set, in the next one. The rows of a token are
     dealt into blocks; every two blocks are one tile, so a token's work is spread however many rows it has.
     A row carries its lesser tokens: two rows that share one of them meet there as well, and belong there.
+    Rows with large sets are dealt into blocks once more (``sub``), by the bytes of their sets.
     """
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     lists = index.groupBy("cls").agg(F.sort_array(F.collect_list("token")).alias("open"))  # at most a quarter of a set
@@ -214,10 +219,83 @@ def tiled(index: DataFrame, sets: DataFrame, tile_rows: int) -> DataFrame:
         for lo, hi in zip(first, [*first[1:], len(left)]):  # tile by tile
             mine[lo:hi] = ~have_common(lesser, left[lo:hi], right[lo:hi])
         left, right = left[mine], right[mine]
+        out = [(tile[:0],) * 4 + ([],)]
+        first = np.flatnonzero(np.r_[True, ends[left][1:] != ends[left][:-1]]) if len(left) else []
+        for lo, hi in zip(first, [*first[1:], len(left)]):
+            out += _as_rows(tile[left[lo]], left[lo:hi], right[lo:hi], n)
+        at = np.concatenate([x[2] for x in out])
+        columns = [np.concatenate([x[c] for x in out]) for c in (0, 1, 3)]
+        trimmed()
+        return pa.table({"tile": columns[0], "sub": columns[1], "at": columns[2], "cls": cls[at], "root": root[at], "n": n[at],
+                         "near": pa.array([b for x in out for b in x[4]], pa.binary())})
+
+    return (rows.groupBy(F.pmod("tile", F.lit(tile_rows // CALL_ROWS + 1)).alias("call"))
+            .applyInArrow(run, "tile long, sub long, at long, cls long, root long, n long, near binary"))
+
+
+def _as_rows(tile: int, left: np.ndarray, right: np.ndarray, n: np.ndarray) -> list:
+    """(tile, sub, row, place, bits) of the rows in these pairs of one tile: the bits are the places of the later rows."""
+    own = np.unique(np.r_[left, right])
+    bytes_ = 8 * n[own]
+    block = np.zeros(int(own[-1]) + 1, np.int64)
+    block[own] = (np.cumsum(bytes_) - bytes_) // SET_BYTES
+    subs, which = np.unique((block[left] << 20) + block[right], return_inverse=True)
+    out = []
+    for k, sub in enumerate(subs):
+        i, j = left[which == k], right[which == k]
+        member = np.unique(np.r_[i, j])
+        near = np.zeros((len(member), len(member)), bool)
+        near[np.searchsorted(member, i), np.searchsorted(member, j)] = True
+        out.append((np.full(len(member), tile), np.full(len(member), sub), member, np.arange(len(member)), [x.tobytes() for x in np.packbits(near, axis=1)]))
+    return out
+
+
+def joining(sets: list[np.ndarray], root: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of ``near`` with intersection of at least 3/4 of the union that join two components, beginning
+    from ``root``: with them every linked pair is inside one. Pairs inside one are not tested."""
+    size = np.array([len(s) for s in sets], np.int64)
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(size)[:-1])
+    part, mark, out = np.unique(root, return_inverse=True)[1], np.zeros(len(flat), bool), []
+    for i in range(len(sets)):
+        rest, step = np.flatnonzero(near[i]), 8
+        mark[own[i]] = True
+        while len(rest := rest[part[rest] != part[i]]):  # a link may spare the others of its component
+            some, rest = rest[:step], rest[step:]
+            common = np.array([np.count_nonzero(mark[own[j]]) for j in some])
+            for j in some[100 * common >= 75 * (size[i] + size[some] - common)].tolist():
+                if part[i] != part[j]:
+                    out.append((i, j))
+                    part[part == part[j]] = part[i]
+            step *= 2
+        mark[own[i]] = False
+    return out
+
+
+def tiled(index: DataFrame, sets: DataFrame, tile_rows: int) -> DataFrame:
+    """Links (a, b) that join the components of the classes in ``index`` as far as all their links do."""
+    rows = written(met(index, sets, tile_rows), "op4-met")
+    bytes_ = 8 * (rows.agg(F.sum("n")).first()[0] or 0)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("tile", "ascending"), ("sub", "ascending"), ("at", "ascending")]).combine_chunks()
+        tile, sub, cls, root = (table[c].to_numpy() for c in ("tile", "sub", "cls", "root"))
+        first = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | (sub[1:] != sub[:-1])])
+        pairs = []
+        for lo, hi in zip(first, [*first[1:], len(tile)]):
+            part = table.slice(lo, hi - lo)
+            near = np.frombuffer(b"".join(part["near"].to_pylist()), np.uint8).reshape(hi - lo, -1)
+            shingles = [np.frombuffer(x, np.uint64) for x in part["shingles"].to_pylist()]
+            pairs += [(lo + i, lo + j) for i, j in joining(shingles, root[lo:hi], np.unpackbits(near, axis=1, count=hi - lo))]
+        a, b = (cls[np.array([p[k] for p in pairs], np.int64)] for k in (0, 1))
+        del table
         trimmed()
-        return pa.table({"a": np.minimum(cls[left], cls[right]), "b": np.maximum(cls[left], cls[right])})
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return rows.groupBy(F.pmod("tile", F.lit(tile_rows // CALL_ROWS + 1)).alias("call")).applyInArrow(run, "a long, b long")
+    # only the sets of rows that are left travel
+    own = sets.join(rows.select("cls").distinct(), "cls", "left_semi").select("cls", "shingles")
+    return (rows.join(own, "cls").select("tile", "sub", "at", "cls", "root", "near", "shingles")
+            .groupBy(F.pmod(F.xxhash64("tile", "sub"), F.lit(bytes_ // SET_BYTES + 1)).alias("call")).applyInArrow(run, "a long, b long"))
 
 
 def linked(maybe: DataFrame, sets: DataFrame) -> DataFrame:
@@ -280,7 +358,7 @@ def class_components(sets: DataFrame) -> DataFrame:
         if not left["rows"]:
             break
         if made == MAX_ROUNDS or made >= MIN_ROUNDS and left["tests"] <= TESTS_PER_ROW * left["rows"]:
-            return components(_more(roots, linked(tiled(index, sets, left["tile_rows"]), sets)))
+            return components(_more(roots, tiled(index, sets, left["tile_rows"])))
         near = (F.least("n", "lead_n") * 4 >= F.greatest("n", "lead_n") * 3) & (F.col("root") != F.col("lead_root"))
         pairs = index.where(near).select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b")).distinct()
         roots = components(_more(roots, linked(bounded(pairs, sets), sets)))

@@ -385,6 +385,24 @@ def test_one_token_shared_by_many_near_copies(spark, monkeypatch):
     assert pairs and len(pairs) == len(set(pairs))
 
 
+@pytest.mark.parametrize("set_bytes", [16 << 20, 10_000], ids=["one block", "many blocks"])
+def test_tiles_return_fewer_links_than_rows(spark, monkeypatch, set_bytes):
+    """Inside a family nothing that leaves a tile grows with the pairs, near misses or links."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[: 60 - i % 20] + [f"u{i}_{j}" for j in range(4 + i % 12)]), None, None) for i in range(300)]
+    made, here = [], []
+    real, met = ngram_jaccard.tiled, ngram_jaccard.met
+    monkeypatch.setattr(ngram_jaccard, "tiled", lambda *a: made.append(ngram_jaccard.written(real(*a), "test")) or made[-1])
+    monkeypatch.setattr(ngram_jaccard, "SET_BYTES", set_bytes)
+    monkeypatch.setattr(ngram_jaccard, "met", lambda *a: here.append(ngram_jaccard.written(met(*a), "test")) or here[-1])
+    monkeypatch.setattr(ngram_jaccard, "MAX_ROUNDS", 0), monkeypatch.setattr(ngram_jaccard, "MIN_ROUNDS", 0)
+    C.same(ngram_jaccard.near_duplicates(C.frame(spark, rows)).collect(), C.components(rows))
+    assert made[0].count() < here[0].count()
+    if set_bytes > 10_000:  # blocks of one set or two have a link each
+        assert made[0].count() < 300
+        assert here[0].groupBy("tile", "cls").count().where("count > 1").isEmpty()
+
+
 def test_messages_are_never_more_than_keys(spark, monkeypatch):
     """Chunks send nothing to parts that they have no keys for."""
     sent = []
