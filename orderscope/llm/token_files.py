@@ -18,7 +18,9 @@ order of their text's hash; an empty table makes no file.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, total_bytes, written
+from .common import table, total_bytes, trimmed, written
 from .words import U, chunks
 
 BLOCK = 2048
@@ -34,8 +36,10 @@ LANES = 2048
 FILE_TEXT = 12 << 20
 END_ID = 2
 SLOTS = 1024
-#: A worker keeps the ids of this many different words.
-CACHE_WORDS = 1_500_000
+#: A task keeps the ids of about this many different words, and has this many new ones encoded at once: the
+#: library's result for a word is some hundred times as large as its ids.
+CACHE_WORDS = 200_000
+WORDS_AT_ONCE = 4096
 
 _STRETCH = np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))).astype(np.float32)
 _CDF = 15  # nibble frequencies add up to 2^15
@@ -203,6 +207,7 @@ class Encoder:
     drops white space, so a text's ids are its words' ids in a row, and each word is encoded once."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would each keep memory of their own
         from tokenizers import Tokenizer
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
@@ -215,8 +220,10 @@ class Encoder:
             if len(self.known) > CACHE_WORDS:
                 self.known = {}
             new = [k for k in keys if k not in self.known]
-            for k, e in zip(new, self.tokenizer.encode_batch_fast([k.decode() for k in new], add_special_tokens=False)):
-                self.known[k] = np.array(e.ids, np.uint16).tobytes()
+            for lo in range(0, len(new), WORDS_AT_ONCE):
+                some = new[lo: lo + WORDS_AT_ONCE]
+                for k, e in zip(some, self.tokenizer.encode_batch_fast([k.decode() for k in some], add_special_tokens=False)):
+                    self.known[k] = array("H", e.ids).tobytes()
             bodies = [self.known[k] for k in keys]
             pool, size = np.frombuffer(b"".join(bodies), np.uint16), np.array([len(b) // 2 for b in bodies], np.int64)
             start = np.cumsum(size) - size
@@ -247,6 +254,7 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             parts = [waiting[i: i + BLOCK] for i in range(0, count, BLOCK)]
             waiting = waiting[count:]
             payloads = encode_blocks(parts)
+            trimmed()
             out = {k: [] for k in ("file", "block", "n_ids", "crc32", "payload", "doc_ids", "doc_ends")}
             for ids, payload in zip(parts, payloads):
                 done += len(ids)
@@ -294,6 +302,7 @@ def read_back(files: DataFrame) -> DataFrame:
             part = table.slice(lo, LANES)
             ids += decode_blocks(part["payload"].to_pylist(), part["n_ids"].to_pylist(), part["crc32"].to_pylist())
         ids = np.concatenate(ids).astype("<u4")
+        trimmed()
         ends = np.array([e for x in table["doc_ends"].to_pylist() for e in x], np.int64)
         starts = np.r_[0, ends[:-1]].astype(np.int64)
         return pa.table({"file": pa.array(np.full(len(ends), table["file"][0].as_py(), np.int32)), "position": pa.array(np.arange(len(ends))),

@@ -403,6 +403,30 @@ def test_tiles_return_fewer_links_than_rows(spark, monkeypatch, set_bytes):
         assert here[0].groupBy("tile", "cls").count().where("count > 1").isEmpty()
 
 
+def test_new_words_are_encoded_few_at_once(monkeypatch):
+    """The library's results for words are held for a bounded number of them, and so are the words' ids."""
+    import public_tokenizers
+    import pyarrow as pa
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [" ".join(f"word{i * 7 + j} shared{j}" for j in range(9)) for i in range(12)]
+    encoder, asked = token_files.Encoder(path), []
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    class Library:
+        real = encoder.tokenizer
+
+        def encode_batch_fast(self, some, **options):
+            asked.append(len(some))
+            return self.real.encode_batch_fast(some, **options)
+    encoder.tokenizer = Library()
+    monkeypatch.setattr(token_files, "WORDS_AT_ONCE", 4), monkeypatch.setattr(token_files, "CACHE_WORDS", 30)
+    for lo in range(0, 12, 3):
+        flat, counts = encoder.ids(pa.array(texts[lo: lo + 3]))
+        assert flat.tolist() == sum(want[lo: lo + 3], []) and counts.tolist() == [len(w) for w in want[lo: lo + 3]]
+        assert len(encoder.known) <= 30 + 3 * 18
+    assert max(asked) <= 4
+
+
 def test_messages_are_never_more_than_keys(spark, monkeypatch):
     """Chunks send nothing to parts that they have no keys for."""
     sent = []
