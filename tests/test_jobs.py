@@ -116,6 +116,16 @@ def test_entry_and_registry(spark):
     assert set(sql) <= set(qs) and len(qs) >= 100
 
 
+def test_first_summaries_shuffle_no_rows(spark, capsys):
+    cur = spark.createDataFrame([(1, "a | b", "k1"), (2, None, "k2"), (None, "c", None), (1, "a | b", "k1")], "record_id long, text_raw string, summary_key string")
+    out = EN.summary_job(cur, None)
+    rows = out.select("record_id", "order_summary", "summary_normalized").collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted([(1, "a", "a"), (2, "", ""), (None, "c", "c"), (1, "a", "a")], key=repr)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_schema_catalog(spark):
     from orderscope.sources.schema import (ORDERS_DESCRIPTIONS, RAW_DEFAULT, combined_columns, schema_catalog,
                                            with_descriptions)
