@@ -126,6 +126,25 @@ def test_first_summaries_shuffle_no_rows(spark, capsys):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_offline_model_normalises_once(spark, capsys):
+    from orderscope.functions import text as TX
+    from orderscope.functions import vectors as V
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+    df = spark.createDataFrame([(1, "Pompa s/n 4 pompa caffè"), (2, ""), (3, None), (4, "日本 x ½ a b c")], "k int, _text string")
+    out = EN.hashed_bow(df, 16)
+    nested = df.withColumn("_tok", TX.tokenize(TX.normalize_text("_text")))
+    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=16).transform(nested)
+    want = tf.select("k", V.l2_normalize(vector_to_array(F.col("_tf"), "float32")).cast("array<float>").alias("e"))
+    assert {r["k"]: r["embedding"] for r in out.collect()} == {r["k"]: r["e"] for r in want.collect()}
+    assert out.columns == ["k", "_text", "embedding"]
+    capsys.readouterr()
+    out.explain()
+    once = capsys.readouterr().out.count("RLIKE(_text")
+    nested.explain()
+    assert once * 2 <= capsys.readouterr().out.count("RLIKE(_text")
+
+
 def test_schema_catalog(spark):
     from orderscope.sources.schema import (ORDERS_DESCRIPTIONS, RAW_DEFAULT, combined_columns, schema_catalog,
                                            with_descriptions)

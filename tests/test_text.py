@@ -150,3 +150,23 @@ def test_strip_accents_random_unicode(spark):
     # marks go before blanks are collapsed, so a mark between two blanks leaves one blank
     norm = {r[0]: r[1] for r in TX.with_normalized_text(df.where("t RLIKE '^[a-zàèéìòù ]*$'"), "t", "n").select("id", "n").collect()}
     assert all(n == " ".join(without_marks(dict(rows)[i]).split()) for i, n in norm.items())
+
+
+def test_pattern_search_by_fixed_part_loses_no_match(spark):
+    from functools import reduce
+
+    from orderscope import config as C
+    patterns = TX._CODE_PATTERNS + C.BOILERPLATE_PATTERNS
+    assert set(TX._HOLDS) == set(patterns)
+    odd = ["a S/N 12", "ſ/n 12 b", "a [x] b", "[ſ]", "x_X000d_y", "(COD. İNT. 3)", "(cod. ınt. 3)", "TARGATO AB 123 CD", "targato ab123cd è", "é s/n é",
+           "Aı seguenti prezzi e condizioni:", "con la presente vi confermiamo l’ordine n. 4: k", "A TERMİNE LAVORI VERRÀ redatto un consuntivo x.", "a termine lavori verrà redatto un consuntivo x.",
+           "K K", "plain", "", None, "caffè ﬁne ½ ́x Å", " ÀÉ straße", "日本 s/n 4", "\u0085x\u009f"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string")
+    plain = reduce(lambda a, rx: F.regexp_replace(a, "(?iuU)" + rx, " "), patterns, F.col("t"))
+    fast = F.translate("t", TX._ACCENT_SRC, TX._ACCENT_DST)
+    exact = TX._strip_accents_exact(F.when(fast.rlike(TX._NEEDS_EXACT), F.col("t")))
+    rows = df.select("i", "t", TX._strip_all(F.col("t")).alias("a"), plain.alias("b"), TX.strip_accents("t").alias("c"), F.coalesce(exact, fast).alias("d")).collect()
+    assert len(rows) == len(odd)
+    for r in rows:
+        assert r["a"] == r["b"] and r["c"] == r["d"], r["t"]
+    assert sum(r["a"] != r["t"] for r in rows) >= 12
