@@ -39,7 +39,8 @@ def mentions(texts: DataFrame, names: DataFrame, text_id: str, text: str, name_i
         def plain(c):
             return F.lower(F.col(c))
     left = texts.select(F.col(text_id).alias("_t"), plain(text).alias("_text")).where(F.col("_text").isNotNull())
-    right = names.select(F.col(name_id).alias("_n"), plain(name).alias("_name")).where(F.length(F.trim("_name")) > 0)
+    # read several times below: written once, whatever the names are derived from
+    right = written_once(names.select(F.col(name_id).alias("_n"), plain(name).alias("_name")).where(F.length(F.trim("_name")) > 0), "mention-names")
     if mode == "words":
         def keys(c):
             return F.array_distinct(F.split(F.trim(c), " "))

@@ -85,6 +85,18 @@ def test_mentions(spark, mode, hot, monkeypatch):
     assert "NestedLoop" not in plan(got) and "Cartesian" not in plan(got)
 
 
+def test_mentions_derives_the_names_once(spark):
+    derived = spark.sparkContext.accumulator(0)
+
+    def counted(s):
+        derived.add(1)
+        return s
+    names = spark.createDataFrame(NAMES, "n long, name string").select("n", F.udf(counted)("name").alias("name"))
+    got = M.mentions(spark.createDataFrame(TEXTS, "t long, body string"), names, "t", "body", "n", "name").collect()
+    assert {(1, 1), (1, 2), (6, 1), (6, 7)} <= set(map(tuple, got))
+    assert derived.value <= 2 * len(NAMES)  # once for the filter and once for the rows, however often they are read
+
+
 def test_mentions_of_nothing(spark):
     none = spark.createDataFrame([], "n long, name string")
     assert M.mentions(spark.createDataFrame(TEXTS, "t long, body string"), none, "t", "body", "n", "name").collect() == []

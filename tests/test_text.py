@@ -165,7 +165,9 @@ def test_pattern_search_by_fixed_part_loses_no_match(spark):
     plain = reduce(lambda a, rx: F.regexp_replace(a, "(?iuU)" + rx, " "), patterns, F.col("t"))
     fast = F.translate("t", TX._ACCENT_SRC, TX._ACCENT_DST)
     exact = TX._strip_accents_exact(F.when(fast.rlike(TX._NEEDS_EXACT), F.col("t")))
-    rows = df.select("i", "t", TX._strip_all(F.col("t")).alias("a"), plain.alias("b"), TX.strip_accents("t").alias("c"), F.coalesce(exact, fast).alias("d")).collect()
+    both = TX.with_normalized_whole(TX.with_normalized_text(df, "t", "n"), "t", "w")
+    assert both.where("n <> w or n is null or w is null").count() == 0
+    rows = df.select("i", "t", TX._strip_searched(F.col("t"), patterns).alias("a"), plain.alias("b"), TX._strip_accents_unless_ascii(F.col("t")).alias("c"), F.coalesce(exact, fast).alias("d")).collect()
     assert len(rows) == len(odd)
     for r in rows:
         assert r["a"] == r["b"] and r["c"] == r["d"], r["t"]
