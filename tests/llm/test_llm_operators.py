@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,31 @@ def test_token_files_of_nothing(spark, sf):
     assert token_files.op3_token_files(spark, sf("documents", [], "doc_id long, text string")).collect() == []
 
 
+def test_token_files_encode_a_unit_once():
+    """What the pre-tokenizer makes of words is encoded once, however it is written; other words stay whole."""
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    tokenizers = pytest.importorskip("tokenizers")
+    encoder = token_files.Encoder(path)
+    texts = ["The the, THE. \u00c9T\u00c9 \u00e9t\u00e9!the", None, "12 2x", "don't a\u00d7b Stra\u00dfe \u00dfA\u00df \u00ffX e\u0301 a\u00a0b A<|endoftext|>B \u0391\u03a3 \u6f22x \u0085 x\x01y"]
+    texts += [f"a{chr(c)}Z{chr(c)}1 {chr(c)}" for c in range(1, 0x600)]
+    flat, counts = encoder.ids(pa.array(texts[:3]))
+    assert set(encoder.known) == {"the".encode(), b",", b".", "\u00e9t\u00e9".encode(), b"!", b"1", b"2", b"x"}
+    flat, counts = encoder.ids(pa.array(texts))
+    want = [x.ids for x in tokenizers.Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
+def test_coder_takes_an_id_in_two_steps(monkeypatch):
+    """An id costs a step over all blocks and one over those without a right guess."""
+    steps, step = [], token_files.Coder.step
+    monkeypatch.setattr(token_files.Coder, "step", lambda self, *a: (steps.append(1), step(self, *a)))
+    blocks = [np.random.default_rng(i).integers(0, 65536, 200).astype(np.uint16) for i in range(5)] + [np.full(200, 65535, np.uint16)]
+    coded = token_files.encode_blocks(blocks)
+    assert len(steps) <= 400
+    back = token_files.decode_blocks(coded, [200] * 6, [zlib.crc32(b.astype("<u4").tobytes()) for b in blocks])
+    assert all((a == b).all() for a, b in zip(back, blocks)) and len(steps) <= 800
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(3)
     blocks = [rng.integers(0, 65536, 300), np.zeros(300, np.int64), rng.zipf(1.3, 300) % 65536, np.array([65535]), np.tile([7, 8, 9], 100)]
