@@ -54,10 +54,6 @@ _BYTES = U(0x0101010101010101)
 BLANK, LETTER, DIGIT, SIGN, HARD = range(5)  # kinds of bytes
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-# the characters that a byte-level vocabulary is written in; the blank stays, it stands between units
-_PRINTED = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b != 0xAD]
-_BYTE_CHARS = np.arange(256, dtype="<u4")
-_BYTE_CHARS[[b for b in range(256) if b not in _PRINTED and b != 0x20]] = [256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED) if b != 0x20]
 #: The rules of normalisation and cutting that the encoder knows for Latin-1.
 CUTS = [{"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
         {"type": "Sequence", "pretokenizers": [
@@ -283,32 +279,31 @@ def decode_blocks(payloads: list[bytes], sizes: list[int], checks: list[int]) ->
 class Encoder:
     """Ids of whole texts. The vocabulary's pre-tokenizer drops white space, so a text's ids are its words' ids in a row, and
     each word is encoded once. Most words are letters of Latin-1, digits and signs of ASCII: they are cut here into what the
-    pre-tokenizer makes of them (runs of letters, single digits, runs of signs, in lower case), and the library's BPE encodes many such
-    units at once: the last token of each, and no other, ends in ``</w>``. A word with any other character, or with the signs of contractions
-    and special tokens, goes whole through the whole tokenizer; so do all words of a tokenizer that cuts texts in another way."""
+    pre-tokenizer makes of them (runs of letters, single digits, runs of signs, in lower case), and the tokenizer encodes many such
+    units in one text: the last token of each, and no other, ends in ``</w>``. A word with any other character, or with the signs of contractions
+    and special tokens, is encoded whole and alone; so are all words of a tokenizer that cuts texts in another way."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would each keep memory of their own
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.units, self.kind = None, np.full(256, HARD, np.uint8)
+        self.cuts, self.kind = False, np.full(256, HARD, np.uint8)
         self.kind[list(BLANKS)] = BLANK
         if _rules(self.tokenizer) == CUTS and all("<" in t.content for t in self.tokenizer.get_added_tokens_decoder().values()):
             self.kind[0x21:0x7F] = SIGN
             self.kind[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = LETTER
             self.kind[list(b"0123456789")] = DIGIT
             self.kind[list(b"'<")] = HARD
-            self.units = Tokenizer(self.tokenizer.model)
-            self.units.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.cuts = True
             ids = self.tokenizer.get_vocab(with_added_tokens=False)
             self.closes = np.zeros(max(ids.values()) + 1, bool)
             self.closes[[i for t, i in ids.items() if t.endswith("</w>")]] = True
 
     def cut(self, w) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The units' bytes in a row, where each begins there and, last, the end; which are whole words for the whole
-        tokenizer; and each document's first unit."""
+        """The units' bytes in a row, where each begins there and, last, the end; which are whole words, to be
+        encoded alone; and each document's first unit."""
         kind, data = self.kind[w.data], w.data
-        if self.units:
+        if self.cuts:
             data = _LOWER[w.data]
             lead = (data == 0xC3).nonzero()[0]  # U+00C0 to U+00FF: letters but for two signs
             after = data[lead + 1]
@@ -342,11 +337,11 @@ class Encoder:
                 self.known[k] = array("H", e.ids).tobytes()
         for lo in range(0, len(units), WORDS_AT_ONCE):
             some = units[lo: lo + WORDS_AT_ONCE]
-            row = _BYTE_CHARS[np.frombuffer(b" ".join(some), np.uint8)].tobytes().decode("utf-32-le")
-            ids = np.array(self.units.encode_batch_fast([row], add_special_tokens=False)[0].ids, np.uint16)
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint16)
             ends = 2 * (self.closes[ids].nonzero()[0] + 1)
-            if len(ends) != len(some):
-                raise ValueError("the vocabulary does not mark the end of every word")
+            if len(ends) != len(some):  # a vocabulary that lacks a character or the mark
+                self.learn(some, [])
+                continue
             body, ends = ids.tobytes(), ends.tolist()
             for k, i, j in zip(some, [0, *ends], ends):
                 self.known[k] = body[i:j]

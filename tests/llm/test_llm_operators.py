@@ -173,6 +173,9 @@ def test_token_files_encode_a_unit_once():
     flat, counts = encoder.ids(pa.array(texts))
     want = [x.ids for x in tokenizers.Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert counts.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+    encoder.known = {}
+    encoder.closes[:] = False  # without marks units are encoded one by one
+    assert encoder.ids(pa.array(texts))[0].tolist() == flat.tolist()
 
 
 def test_coder_takes_an_id_in_two_steps(monkeypatch):
