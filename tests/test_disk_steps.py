@@ -59,7 +59,8 @@ def lines_dir(spark, tmp_path_factory):
     table(spark, d, "part", [(i, f"part {i}", "B", "T") for i in (1, 2, 3)], "p_partkey long, p_name string, p_brand string, p_type string")
     table(spark, d, "orders", [(i, 100.0 + i, "1996-01-02", "LOW") for i in range(8)], "o_orderkey long, o_totalprice double, o_orderdate string, o_orderpriority string")
     li = [(o, 1 + (o + n) % 3, (1, 2, 37)[(o + n) % 3], n, 50.0 if n == 2 else 7.0, 10.5 * n, 0.0 if n == 1 else 0.1, 0.0 if n == 3 else 0.2, "N", "O" if o % 2 else "F", "1996-02-03")
-          for o in range(9) for n in range(1, 5)] + [(None, 1, 1, 1, 7.0, 1.0, 0.1, 0.2, "N", "F", "1996-02-03")]
+          for o in range(9) for n in range(1, 5)]
+    li += [(0, 99, 1, 0, 7.0, 1.0, 0.1, 0.2, "N", "F", "1996-02-03"), (2, 1, None, 2, 7.0, 1.0, 0.1, 0.2, "N", "F", "1996-02-03"), (None, 1, 1, 1, 7.0, 1.0, 0.1, 0.2, "N", "F", "1996-02-03")]
     table(spark, d, "lineitem", li, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_quantity double, l_extendedprice double, l_discount double, "
                                     "l_tax double, l_returnflag string, l_linestatus string, l_shipdate string")
     return d
@@ -170,4 +171,4 @@ def test_chains_in_rounds_of_documents(spark, monkeypatch, lines_dir, tmp_path):
     monkeypatch.setattr(S, "ROUND_ROWS", 9)
     many = chains(60)
     assert (one[0], one[1]) == (1, False) and many[0] > 1 and many[1]
-    assert one[2] == many[2] and len(one[2]) == 36 + 9
+    assert one[2] == many[2] and len(one[2]) == 36 + 1 + 9
